@@ -81,14 +81,14 @@ d AS (SELECT source_id, strftime(wk, '%Y-%m-%d') AS week_start,
 
 _P5 = """
 WITH refs AS (
-  SELECT 'changes' AS ref_table, change_id AS ref_key, regexp_replace(lower(source_id), '^\\s+|\\s+$', '', 'g') AS id, observed_at AS at FROM changes WHERE source_id IS NOT NULL
+  SELECT 'changes' AS ref_table, change_id AS ref_key, regexp_replace(lower(source_id), '^\\s+|\\s+$', '', 'g') AS id, observed_at AS ts FROM changes WHERE source_id IS NOT NULL
   UNION ALL
   SELECT 'snapshots', CAST(snapshot_id AS VARCHAR), regexp_replace(lower(source_id), '^\\s+|\\s+$', '', 'g'), fetched_at FROM snapshots WHERE source_id IS NOT NULL),
 p AS (SELECT regexp_replace(lower(source_id), '^\\s+|\\s+$', '', 'g') AS id, registered_at AS f, coalesce(retired_at, TIMESTAMP '9999-12-31') AS t FROM sources),
-o AS (SELECT DISTINCT ref_table, ref_key, strftime(at, '%Y-%m') AS ref_month,
+o AS (SELECT DISTINCT ref_table, ref_key, strftime(ts, '%Y-%m') AS ref_month,
     CASE WHEN NOT EXISTS (SELECT 1 FROM p WHERE p.id = refs.id) THEN 'missing'
-         WHEN NOT EXISTS (SELECT 1 FROM p WHERE p.id = refs.id AND p.f <= refs.at) THEN 'late' ELSE 'deleted' END AS reason
-  FROM refs WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.id = refs.id AND p.f <= refs.at AND refs.at < p.t))
+         WHEN NOT EXISTS (SELECT 1 FROM p WHERE p.id = refs.id AND p.f <= refs.ts) THEN 'late' ELSE 'deleted' END AS reason
+  FROM refs WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.id = refs.id AND p.f <= refs.ts AND refs.ts < p.t))
 """
 
 ORACLES = {

@@ -41,3 +41,12 @@ def durable(df: DataFrame) -> DataFrame:
             folder = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """More partitions before work that is heavy per row, where the scan gives fewer than there are cores.
+
+    Large tables already come in enough partitions and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * per_core) if df.rdd.getNumPartitions() < cores else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import looks, sites
+from tidemark.llm import looks, sentences, sites
 from tidemark.plans.ordered import previous_row
 from tidemark.sources.tables import table
 
@@ -45,10 +45,23 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return sites.without_lines(s, "snapshot_id", "normalized_text", _repeated(spark, d), "cleaned_text").select("snapshot_id", "cleaned_text")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence, heading and list item of every document."""
+    docs = table(spark, d, "documents", "doc_id", "text", "lang")
+    return sentences.split_documents(docs, sentences.learn(docs, "text", "lang"), "doc_id", "text", "lang").distinct()
+
+
+def p9_units_per_document(spark: SparkSession, d: str) -> DataFrame:
+    units = p9_found(spark, d)
+    return units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.max(F.col("end_pos") - F.col("start_pos")).alias("longest"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_canonical": p1_canonical,
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
+    "p9_found": p9_found,
+    "p9_units_per_document": p9_units_per_document,
 }
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import looks, sentences, sites
+from tidemark.llm import frames, looks, residue, sentences, sites
 from tidemark.plans.ordered import previous_row
 from tidemark.sources.tables import table
 
@@ -45,6 +45,42 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return sites.without_lines(s, "snapshot_id", "normalized_text", _repeated(spark, d), "cleaned_text").select("snapshot_id", "cleaned_text")
 
 
+def _coded(spark: SparkSession, d: str) -> DataFrame:
+    return frames.with_flags(table(spark, d, "snapshots", "snapshot_id", "url", "fetched_at", "normalized_text"))
+
+
+def p4_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What speaks for and against each snapshot being residue."""
+    return residue.residue_evidence(_coded(spark, d))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots that hold nothing but template residue, filler or messages."""
+    return p4_evidence(spark, d).filter("residue").select("snapshot_id").distinct()
+
+
+def p4_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshots without residue."""
+    s = table(spark, d, "snapshots", "snapshot_id", "source_id", "fetched_at")
+    return s.join(p4_found(spark, d), "snapshot_id", "left_anti")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Frame lines of snapshots and of changes."""
+    coded = _coded(spark, d)
+    changes = table(spark, d, "changes", "change_id", "url", "diff_excerpt")
+    snaps = frames.frame_lines(coded, "snapshot_id").select(F.lit("snapshots").alias("rec_table"), F.col("snapshot_id").cast("string").alias("rec_key"), "line_no")
+    diffs = frames.diff_frame_lines(changes, coded).select(F.lit("changes").alias("rec_table"), F.col("change_id").alias("rec_key"), "line_no")
+    return snaps.unionByName(diffs).distinct()
+
+
+def p6_main_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every snapshot's text with only the title and the main body kept."""
+    s = table(spark, d, "snapshots", "snapshot_id", "normalized_text")
+    lines = frames.frame_lines(_coded(spark, d), "snapshot_id")
+    return sites.without_lines(s, "snapshot_id", "normalized_text", lines, "main_text").select("snapshot_id", "main_text")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Every sentence, heading and list item of every document."""
     docs = table(spark, d, "documents", "doc_id", "text", "lang")
@@ -61,6 +97,11 @@ QUERIES = {
     "p1_canonical": p1_canonical,
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
+    "p4_found": p4_found,
+    "p4_evidence": p4_evidence,
+    "p4_kept": p4_kept,
+    "p6_found": p6_found,
+    "p6_main_text": p6_main_text,
     "p9_found": p9_found,
     "p9_units_per_document": p9_units_per_document,
 }

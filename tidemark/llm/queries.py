@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import frames, looks, residue, sentences, sites
+from tidemark.llm import frames, leakage, looks, residue, sentences, sites
 from tidemark.plans.ordered import previous_row
 from tidemark.sources.tables import table
 
@@ -81,6 +81,20 @@ def p6_main_text(spark: SparkSession, d: str) -> DataFrame:
     return sites.without_lines(s, "snapshot_id", "normalized_text", lines, "main_text").select("snapshot_id", "main_text")
 
 
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the test items they leak, the share found and where."""
+    return leakage.find_leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "eval_items", "item_id", "text"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_passages(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Test items by the number of documents they leak into."""
+    return p8_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Every sentence, heading and list item of every document."""
     docs = table(spark, d, "documents", "doc_id", "text", "lang")
@@ -102,6 +116,9 @@ QUERIES = {
     "p4_kept": p4_kept,
     "p6_found": p6_found,
     "p6_main_text": p6_main_text,
+    "p8_found": p8_found,
+    "p8_passages": p8_passages,
+    "p8_leaked_items": p8_leaked_items,
     "p9_found": p9_found,
     "p9_units_per_document": p9_units_per_document,
 }

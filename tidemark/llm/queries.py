@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import frames, leakage, looks, residue, sentences, sites
+from tidemark.llm import frames, leakage, looks, packing, residue, sentences, sites
 from tidemark.plans.ordered import previous_row
 from tidemark.sources.tables import table
 
@@ -81,6 +81,16 @@ def p6_main_text(spark: SparkSession, d: str) -> DataFrame:
     return sites.without_lines(s, "snapshot_id", "normalized_text", lines, "main_text").select("snapshot_id", "main_text")
 
 
+def p7_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's containers, for each size."""
+    return packing.pack(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "token_budgets"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill(p7_assignment(spark, d), table(spark, d, "token_budgets"))
+
+
 def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the test items they leak, the share found and where."""
     return leakage.find_leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "eval_items", "item_id", "text"), "item_id", "text")
@@ -116,6 +126,8 @@ QUERIES = {
     "p4_kept": p4_kept,
     "p6_found": p6_found,
     "p6_main_text": p6_main_text,
+    "p7_assignment": p7_assignment,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
     "p8_leaked_items": p8_leaked_items,

@@ -131,7 +131,7 @@ def url_faults(url: Column) -> Column:
 
 def strict_date(c: Column) -> Column:
     """A date written yyyy-MM-dd; anything else is null."""
-    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, F.lit("yyyy-MM-dd")))
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))
 
 
 def rfc2822(ts: Column) -> Column:

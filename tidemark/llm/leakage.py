@@ -152,15 +152,15 @@ def _passages(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
 def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, min_share: float = MIN_SHARE) -> DataFrame:
     """(doc, item, share, first_word, last_word) of every document that holds at least ``min_share`` of an item's words in order.
 
-    Null and empty texts on either side give no rows; items shorter than a seed
+    Null ids and null and empty texts on either side give no rows; items shorter than a seed
     cannot be found. Ids are bigint. Repeated documents are each reported.
 
     Plan: n-grams of the items that stand in at most MAX_ITEMS items are the seeds.
     They are broadcast while their number is within BROADCAST_SEEDS and joined by
     shuffle beyond. Only the pairs found fetch their texts and are aligned.
     """
-    corpus = docs.select(F.col(doc).cast("bigint").alias("id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    tests = items.select(F.col(item).cast("bigint").alias("id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())
+    corpus = docs.select(F.col(doc).cast("bigint").alias("id"), F.col(text).alias("text")).dropna()
+    tests = items.select(F.col(item).cast("bigint").alias("id"), F.col(item_text).alias("text")).dropna()
     # items of the same text are one until the result
     same = F.xxhash64(F.lower("text"))
     tests = tests.withColumn("copy", same)

@@ -45,14 +45,15 @@ def encoder(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
 
 
 def token_counts(docs: DataFrame, doc: str, text: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) over whole texts. Null and empty texts count 0."""
+    """(doc_id, n_tokens) over whole texts. Null and empty texts count 0; rows without an id are left out."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(folder, vocabulary)
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("int64"), "n_tokens": np.array([len(enc.encode_ordinary(t)) if t else 0 for t in f["text"]], dtype=np.int64)})
 
-    return spread(docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))).mapInPandas(run, "doc_id bigint, n_tokens bigint")
+    known = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isNotNull())
+    return spread(known).mapInPandas(run, "doc_id bigint, n_tokens bigint")
 
 
 def best_fit(sizes: np.ndarray, capacity: int, max_docs: int, max_cost: float, weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:

@@ -45,13 +45,17 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return sites.without_lines(s, "snapshot_id", "normalized_text", _repeated(spark, d), "cleaned_text").select("snapshot_id", "cleaned_text")
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "snapshots", "snapshot_id", "url", "fetched_at", "normalized_text")
+
+
 def _coded(spark: SparkSession, d: str) -> DataFrame:
-    return frames.with_flags(table(spark, d, "snapshots", "snapshot_id", "url", "fetched_at", "normalized_text"))
+    return frames.with_flags(_pages(spark, d))
 
 
 def p4_evidence(spark: SparkSession, d: str) -> DataFrame:
     """What speaks for and against each snapshot being residue."""
-    return residue.residue_evidence(_coded(spark, d))
+    return residue.residue_evidence(_pages(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

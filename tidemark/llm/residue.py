@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import letters, plain
+from tidemark.llm.frames import letters, plain, with_flags
 from tidemark.session import durable
 
 LOW_LINES = 6  # body lines up to which a body may be judged low in information
@@ -104,7 +104,7 @@ def _body(text: str, codes: str) -> tuple[str, list[str]]:
     return lines[0], body
 
 
-def filler_vocabulary(coded: DataFrame) -> set[str]:
+def filler_vocabulary(snaps: DataFrame, text: str) -> set[str]:
     """Words of the pseudo-language around 'lorem ipsum', learned from the lines that hold these words.
 
     A word counts that stands in at least a thousandth of those lines and there in
@@ -114,10 +114,7 @@ def filler_vocabulary(coded: DataFrame) -> set[str]:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: dict[tuple[str, bool], int] = {}
         for f in frames:
-            for text in f["form"]:
-                near = "lorem" in text or "ipsum" in text
-                if not near:
-                    continue
+            for text in f["text"]:
                 for line in text.split("\n"):
                     words = set(_WORDS.findall(plain(line)))
                     sure = bool(words & {"lorem", "ipsum"})
@@ -127,8 +124,9 @@ def filler_vocabulary(coded: DataFrame) -> set[str]:
                         n["", True] = n.get(("", True), 0) + 1
         yield pd.DataFrame([(w, s, k) for (w, s), k in n.items()], columns=["word", "sure", "n"])
 
-    counts = coded.select("form").filter(F.col("form").contains("lorem") | F.col("form").contains("ipsum")).mapInPandas(count, "word string, sure boolean, n bigint")
-    sums = counts.groupBy("word").agg(F.sum(F.when(F.col("sure"), F.col("n")).otherwise(0)).alias("k"), F.sum("n").alias("n"))
+    near = snaps.select(F.col(text).alias("text")).filter(F.col(text).contains("lorem") | F.col(text).contains("ipsum"))
+    counts = near.mapInPandas(count, "word string, sure boolean, n bigint")
+    sums = durable(counts.groupBy("word").agg(F.sum(F.when(F.col("sure"), F.col("n")).otherwise(0)).alias("k"), F.sum("n").alias("n")))
     total = sums.filter(F.col("word") == "").select(F.col("k").alias("of"))
     kept = sums.filter(F.col("word") != "").join(F.broadcast(total)).filter((F.col("k") >= F.greatest(F.lit(2), F.col("of") / 1000)) & (F.col("k") * 4 >= F.col("n")))
     return {r["word"] for r in kept.select("word").collect()}
@@ -159,17 +157,17 @@ def _judge(coded: DataFrame, vocabulary: set[str]) -> DataFrame:
     return coded.select("snapshot_id", "site", "path", "form", "codes").mapInPandas(run, "snapshot_id bigint, site string, path string, n_body int, n_bad int, bad_title boolean, overlap int, body bigint, odd array<bigint>")
 
 
-def residue_evidence(coded: DataFrame) -> DataFrame:
+def residue_evidence(snaps: DataFrame) -> DataFrame:
     """Per snapshot: n_body, n_bad, overlap, copies, host_lines and ``residue``.
 
-    ``coded`` comes from ``frames.with_flags``. A snapshot is residue when it has a
+    ``snaps``: snapshot_id, url, fetched_at, normalized_text. A snapshot is residue when it has a
     body and every line of it is a placeholder, filler, a message or a script
     notice, by itself or because the line stands almost only on such pages; or when
     it has no body but such a title; or when its short body mismatches slug and
     title, recurs on at least LEARN_PAGES other addresses and is far shorter than
     its host's pages. Pages without body and with a normal title are none.
     """
-    judged = durable(_judge(coded, filler_vocabulary(coded)))
+    judged = durable(_judge(with_flags(snaps), filler_vocabulary(snaps, "normalized_text")))
     # a short body's other lines, and how often each stands among residue
     odd = judged.filter(F.size("odd") > 0).select("snapshot_id", "path", (F.col("n_bad") >= F.size("odd")).alias("mostly"), F.explode("odd").alias("line"))
     lines = odd.groupBy("line").agg(F.avg(F.col("mostly").cast("int")).alias("share"), F.approx_count_distinct("path").alias("paths"))

@@ -24,6 +24,15 @@ def build_session(cpus: int | str = "*", app: str = "tidemark", **conf: str) ->
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return reachable_by_workers(spark)
+
+
+def reachable_by_workers(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it, whatever the working folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     return spark
 
 

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import durable
+
 _EDGE, _PREV, _BLOCK = "__tm_edge", "__tm_prev", "__tm_block"
 
 
@@ -64,3 +66,29 @@ def _all(conditions: list[Column]) -> Column:
     for c in conditions[1:]:
         total = total & c
     return total
+
+
+def positions(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Adds ``out``: each row's place, from 1, in the order of the whole table.
+
+    No task sees the whole table: rows are range-partitioned, numbered within their
+    partition, and shifted by the sizes of the partitions before. End ``order``
+    with a unique column; ties are placed arbitrarily.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = durable(df.repartitionByRange(n, *order).withColumn(_BLOCK, F.spark_partition_id()))
+    sizes = ranged.groupBy(_BLOCK).agg(F.count(F.lit(1)).alias(_PREV))
+    before = sizes.withColumn(_PREV, F.coalesce(F.sum(_PREV).over(Window.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # one row per partition
+    numbered = ranged.withColumn(out, F.row_number().over(Window.partitionBy(_BLOCK).orderBy(*order)))
+    return numbered.join(F.broadcast(before), _BLOCK).withColumn(out, (F.col(out) + F.col(_PREV)).cast("bigint")).drop(_BLOCK, _PREV)
+
+
+def range_blocks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Adds ``__tm_range``, a block number that never falls along ``columns``, for use as ``block`` above.
+
+    The blocks are the partitions of a range partitioning, written down so that
+    every later read sees the same; a key of any size is cut into several.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return durable(df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in columns]).withColumn("__tm_range", F.spark_partition_id()))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import chains, diffs, health, history, pages, registry, runs
-from tidemark.plans.ordered import previous_row
+from tidemark.plans.ordered import positions, previous_row
 from tidemark.sources import sinks
 from tidemark.sources.tables import table
 from tidemark.streaming import streaks as streaming
@@ -484,3 +484,59 @@ def attempts_outside_scope(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "watch_runs", "run_id", "jurisdiction").filter(F.col("jurisdiction").isNotNull()).distinct()
     a = table(spark, d, "fetch_attempts", "run_id", "source_id").distinct()
     return a.join(r, "run_id").join(table(spark, d, "sources", "source_id", "jurisdiction"), ["source_id", "jurisdiction"], "left_anti").select("run_id", "jurisdiction", "source_id")
+
+
+# --- queues and orders -------------------------------------------------------
+
+
+@query(_HOLD + """SELECT source_id, jurisdiction, document_class, row_number() OVER (ORDER BY CASE WHEN jurisdiction = 'US' THEN 0 ELSE 1 END, jurisdiction, document_class, source_id, registered_at) AS place, count(*) OVER () AS of_all
+FROM h WHERE verification.status NOT IN ('verified', 'rejected')""")
+def verification_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Entries still to be verified, federal ones first, with their place in the whole queue."""
+    h = _held(spark, d, "source_id", "jurisdiction", "document_class", "verification").filter(~F.col("verification.status").isin("verified", "rejected"))
+    order = [F.when(F.col("jurisdiction") == "US", 0).otherwise(1).asc(), F.col("jurisdiction").asc_nulls_last(), F.col("document_class").asc_nulls_last(), F.col("source_id").asc(), F.col("registered_at").asc()]
+    queue = positions(h, order, "place")
+    return queue.join(F.broadcast(queue.agg(F.count(F.lit(1)).alias("of_all")))).select("source_id", "jurisdiction", "document_class", "place", "of_all")
+
+
+@query("SELECT change_id, row_number() OVER (ORDER BY at DESC, change_id DESC) AS place FROM (SELECT change_id, max(coalesce(lifecycle_at, observed_at)) AS \"at\" FROM changes GROUP BY 1)".replace("ORDER BY at", 'ORDER BY "at"'))
+def publication_order(spark: SparkSession, d: str) -> DataFrame:
+    """Changes from the newest on; ties by id, falling."""
+    c = table(spark, d, "changes", "change_id", "lifecycle_at", "observed_at").groupBy("change_id").agg(F.max(F.coalesce("lifecycle_at", "observed_at")).alias("at"))
+    return positions(c, [F.col("at").desc(), F.col("change_id").desc()], "place").select("change_id", "place")
+
+
+@query(_RUNS + """SELECT w.run_id, CASE WHEN eligible_count > 0 THEN CAST(coalesce(attempted, 0) AS DOUBLE) / eligible_count END AS completeness FROM (SELECT DISTINCT run_id, eligible_count FROM watch_runs) w LEFT JOIN g ON g.run_id = w.run_id""")
+def run_completeness(spark: SparkSession, d: str) -> DataFrame:
+    """Attempted of eligible sources per run; null where nothing was eligible."""
+    w = table(spark, d, "watch_runs", "run_id", "eligible_count").distinct()
+    j = w.join(runs.receipts(_attempts(spark, d)), "run_id", "left")
+    return j.select("run_id", F.try_divide(F.coalesce("attempted", F.lit(0)).cast("double"), F.col("eligible_count")).alias("completeness"))
+
+
+@query(f"WITH {_DEDUP} SELECT run_id, CASE WHEN NOT coalesce(ok, false) THEN 'not-retrieved' WHEN extraction_outcome = 'no-text' THEN 'no-text' ELSE 'measured' END AS outcome, count(*) AS n, min(source_id) AS first_source, max(source_id) AS last_source FROM a GROUP BY ALL")
+def run_outcome_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The sets of sources by outcome of each run: their sizes and ends; the sets themselves stay rows."""
+    outcome = F.when(~F.coalesce("ok", F.lit(False)), "not-retrieved").when(F.col("extraction_outcome") == "no-text", "no-text").otherwise("measured")
+    return _attempts(spark, d).groupBy("run_id", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.min("source_id").alias("first_source"), F.max("source_id").alias("last_source"))
+
+
+@query("SELECT run_id, source_id, attempted_at FROM (SELECT DISTINCT run_id, source_id, attempted_at, completed_at FROM fetch_attempts) WHERE completed_at IS NULL")
+def open_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """Attempts begun and never completed."""
+    return table(spark, d, "fetch_attempts", "run_id", "source_id", "attempted_at", "completed_at").distinct().filter(F.col("completed_at").isNull()).drop("completed_at")
+
+
+@query("SELECT source_id, strftime(try_cast(checked.at AS DATE) + 180, '%Y-%m-%d') AS recheck_on FROM sources WHERE checked.at IS NOT NULL")
+def recheck_dates(spark: SparkSession, d: str) -> DataFrame:
+    """180 days after the decision, not after today."""
+    s = table(spark, d, "sources", "source_id", "checked").filter(F.col("checked.at").isNotNull())
+    return s.select("source_id", F.date_format(F.date_add(T.strict_date(F.col("checked.at")), 180), "yyyy-MM-dd").alias("recheck_on"))
+
+
+@query("SELECT strftime(date_trunc('week', attempted_at), '%Y-%m-%d') AS week_start, jurisdiction, count(*) AS n_attempts, count(*) FILTER (ok) AS n_ok FROM (SELECT DISTINCT run_id, source_id, attempted_at, ok FROM fetch_attempts) a JOIN (SELECT DISTINCT source_id, jurisdiction FROM sources) s USING (source_id) GROUP BY GROUPING SETS ((strftime(date_trunc('week', attempted_at), '%Y-%m-%d'), jurisdiction), (strftime(date_trunc('week', attempted_at), '%Y-%m-%d')))")
+def weekly_availability(spark: SparkSession, d: str) -> DataFrame:
+    """Attempts and successes per week, by jurisdiction and over all (null)."""
+    a = table(spark, d, "fetch_attempts", "run_id", "source_id", "attempted_at", "ok").distinct().join(table(spark, d, "sources", "source_id", "jurisdiction").distinct(), "source_id")
+    a = a.withColumn("week_start", F.date_format(F.date_trunc("week", F.col("attempted_at").cast("timestamp")), "yyyy-MM-dd"))
+    return a.groupingSets([["week_start", "jurisdiction"], ["week_start"]], "week_start", "jurisdiction").agg(F.count(F.lit(1)).alias("n_attempts"), F.count_if("ok").alias("n_ok"))

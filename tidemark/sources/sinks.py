@@ -6,8 +6,10 @@ tables are written by Spark itself, partitioned.
 
 from __future__ import annotations
 
+import html
 import json
 import os
+import re
 import shutil
 import uuid
 
@@ -85,3 +87,38 @@ def publish(rendered: dict[str, str], folder: str) -> None:
         shutil.rmtree(old, ignore_errors=True)
     finally:
         shutil.rmtree(stage, ignore_errors=True)
+
+
+def registry_document(entries: list[dict], gaps: list[dict], version: str = "1.0") -> str:
+    """The registry file: pretty, with each innermost block on one line. Reading it back gives the same entries."""
+    text = json.dumps({"registry_version": version, "sources": entries, "gaps": gaps}, indent=2, ensure_ascii=False)
+    leaf = re.compile(r'\{((?:"(?:[^"\\]|\\.)*"|[^{}\[\]"])*)\}')
+    text = leaf.sub(lambda m: "{" + re.sub(r"\s*\n\s*", " ", m[1]).strip() + "}" if len(m[1]) < 400 else m[0], text)
+    if json.loads(text) != {"registry_version": version, "sources": entries, "gaps": gaps}:
+        raise ValueError("the rendered registry does not read back")
+    return text + "\n"
+
+
+def receipt_lines(df: DataFrame, path: str) -> None:
+    """Appends decisions as JSON lines; an evidence dataset is never rewritten."""
+    df.write.mode("append").json(path)
+
+
+def site_page(title: str, rows: DataFrame, columns: list[str]) -> str:
+    """A static page with one table of the newest FEED_ITEMS rows; everything escaped."""
+    cells = rows.select(*[T.xml_escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns]).limit(FEED_ITEMS).collect()
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
+    body = "".join("<tr>" + "".join(f"<td>{r[c]}</td>" for c in columns) + "</tr>\n" for r in cells)
+    return f"<!doctype html>\n<meta charset=\"utf-8\">\n<title>{html.escape(title)}</title>\n<h1>{html.escape(title)}</h1>\n<table><tr>{head}</tr>\n{body}</table>\n"
+
+
+def jurisdiction_artifacts(changes: DataFrame, jurisdictions: list[str]) -> dict[str, str]:
+    """A feed and a page for every registered jurisdiction, also those without changes."""
+    items = feed_items(changes)
+    out = {}
+    for j in jurisdictions:
+        own = items.filter(F.col("jurisdiction") == j)
+        slug = "us" if j == "US" else f"us-{j.lower()}"
+        out[f"feeds/{slug}.xml"] = feed_xml(own, f"Changes: {j}")
+        out[f"{slug}.html"] = site_page(f"Changes: {j}", own.orderBy(F.col("published_at").desc(), F.col("change_id").desc()), ["published_at", "title", "link"])
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import frames, leakage, looks, packing, residue, sentences, sites
 from tidemark.plans.ordered import previous_row
+from tidemark.session import durable
 from tidemark.sources.tables import table
 
 
@@ -50,7 +51,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _coded(spark: SparkSession, d: str) -> DataFrame:
-    return frames.with_flags(_pages(spark, d))
+    return durable(frames.with_flags(_pages(spark, d)))
 
 
 def p4_evidence(spark: SparkSession, d: str) -> DataFrame:

@@ -133,7 +133,11 @@ def filler_vocabulary(snaps: DataFrame, text: str) -> set[str]:
 
 
 def _judge(coded: DataFrame, vocabulary: set[str]) -> DataFrame:
-    """Per snapshot the counts of its body lines and the hash of its body."""
+    """Per snapshot the counts of its body lines and the hash of its body.
+
+    A body of more than LOW_LINES lines is read up to its first line that is no
+    residue: that decides it, and the terms and hash serve short bodies only.
+    """
     shared = coded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,11 +146,20 @@ def _judge(coded: DataFrame, vocabulary: set[str]) -> DataFrame:
             rows = []
             for sid, site, path, text, codes in zip(f["snapshot_id"], f["site"], f["path"], f["form"], f["codes"]):
                 title, body = _body(text, codes)
-                bad = [x for x in body if residue_class(x) or filler_share(x, words) >= 0.8]
+                low = len(body) <= LOW_LINES
+                bad = []
+                for x in body:
+                    if residue_class(x) or filler_share(x, words) >= 0.8:
+                        bad.append(x)
+                    elif not low:
+                        break
+                if not low and len(bad) < len(body):
+                    rows.append((sid, site, path, len(body), len(bad), False, 0, 0, []))
+                    continue
                 slug = {w for w in re.split(r"[^a-z]+", path.rsplit("/", 2)[-2] if path.count("/") > 1 else path) if len(w) > 2}
                 terms = set(_WORDS.findall(plain(" ".join(body))))
                 heads = set(_WORDS.findall(plain(title)))
-                odd = [x for x in body if x not in set(bad)] if len(body) <= LOW_LINES else []
+                odd = [x for x in body if x not in set(bad)] if low else []
                 rows.append((
                     sid, site, path, len(body), len(bad), bool(residue_class(title)) or filler_share(title, words) >= 0.8,
                     len(terms & (slug | heads)), xxhash.xxh3_64_intdigest(re.sub(r"\d+", "#", "\n".join(sorted(map(plain, body))))) - (1 << 63),

@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import frames, leakage, looks, packing, residue, sentences, sites
 from tidemark.plans.ordered import previous_row
-from tidemark.session import durable
+from tidemark.session import durable, spread
 from tidemark.sources.tables import table
 
 
 def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every snapshot's text in its one form, with whether it had to change."""
-    s = looks.with_canonical(table(spark, d, "snapshots", "snapshot_id", "normalized_text"), "normalized_text", "canonical_text")
+    s = looks.with_canonical(spread(table(spark, d, "snapshots", "snapshot_id", "normalized_text")), "normalized_text", "canonical_text")
     return s.select("snapshot_id", "canonical_text", (~F.col("canonical_text").eqNullSafe(F.col("normalized_text"))).alias("rewritten"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Neighbouring snapshots of a source whose texts differ but look the same."""
-    s = table(spark, d, "snapshots", "snapshot_id", "source_id", "fetched_at", "normalized_text").filter(F.col("source_id").isNotNull() & F.col("normalized_text").isNotNull())
+    s = spread(table(spark, d, "snapshots", "snapshot_id", "source_id", "fetched_at", "normalized_text")).filter(F.col("source_id").isNotNull() & F.col("normalized_text").isNotNull())
     s = looks.with_canonical(s, "normalized_text", "form")
     t1, t2 = looks.look_hash(F.col("normalized_text"))
     f1, f2 = looks.look_hash(F.col("form"))
@@ -31,7 +31,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _repeated(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "snapshots", "snapshot_id", "source_id", "url", "normalized_text")
+    s = spread(table(spark, d, "snapshots", "snapshot_id", "source_id", "url", "normalized_text"))
     return sites.repeated_lines_of(s, "snapshot_id", "source_id", "url", "normalized_text")
 
 
@@ -47,7 +47,7 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "snapshots", "snapshot_id", "url", "fetched_at", "normalized_text")
+    return spread(table(spark, d, "snapshots", "snapshot_id", "url", "fetched_at", "normalized_text"))
 
 
 def _coded(spark: SparkSession, d: str) -> DataFrame:

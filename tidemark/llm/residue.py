@@ -43,8 +43,8 @@ we could not find (that|this|the) (address|page)\b.{0,40}|the page you (asked fo
 (ticket|incident|ref|reference|incidencia|incident n°|обращение|编号|инцидент|номер|réf|ref)\.?:?( no\.?)? ?[\d-]+|trace: .{0,60}|request id.{0,40}
 (la )?pagina (que busca )?no (existe|encontrada)\b.{0,20}|no encontrado|lo sentimos|su sesion ha caducado|no se pudo abrir el recurso|intente mas tarde|error \d{3}|acceso (denegado|rechazado)|servicio (suspendido|no disponible)\b.{0,20}|el servicio (esta|no esta)\b.{0,30}|demasiadas peticiones\b.{0,20}|incidencia [\d-]+
 introuvable|page introuvable|la page demandee n'existe pas|le service est (suspendu|indisponible)\b.{0,20}|desole|acces (refuse|interdit)|reessayez plus tard|votre session a expire\b.{0,20}|trop de requetes\b.{0,20}|le lien est (ancien|rompu)\b.{0,20}
-страница не (наидена|наидена|найдена|существует)|не (наидено|найдено)|сервис (временно )?(недоступен|приостановлен)|доступ (запрещен|закрыт)|извините|ошибка|сессия (истекла|завершена)|попробуите позже|попробуйте позже|слишком много запросов\b.{0,20}|ошибка сервера.{0,20}
-页面(不存在|未找到|已移除).{0,6}|未找到.{0,10}|服务(暂时)?不可用|服务已暂停|访问被拒绝|拒绝访问|抱歉|会话已过期.{0,10}|请稍后(再试|重试)|无法打开.{0,10}|请求过多.{0,10}|找不到.{0,12}|系统.{0,6}(错误|故障|繁忙).{0,8}
+страница не (наидена|наидена|найдена|существует)|не (наидено|найдено)|запрошеннои страницы нет|номер сбоя [\d-]+|сервис (временно )?(недоступен|приостановлен|не работает)|доступ (запрещен|закрыт)|извините|ошибка|сессия (истекла|завершена)|попробуите позже|попробуйте позже|слишком много запросов\b.{0,20}|ошибка сервера.{0,20}
+(您访问的)?页面(不存在|未找到|已移除).{0,6}|未找到.{0,10}|服务(暂时)?不可用|服务已暂停|访问被拒绝|拒绝访问|抱歉|会话已过期.{0,10}|请稍后(再试|重试)|无法打开.{0,10}|请求过多.{0,10}|找不到.{0,12}|系统.{0,6}(错误|故障|繁忙).{0,8}
 """
 # Notices that scripts are needed or that the page is still loading.
 SCRIPTS = r"""

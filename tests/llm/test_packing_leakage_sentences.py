@@ -174,3 +174,30 @@ def test_empty_tables(spark):
     got = sentences.split_documents(df, sentences.learn(df, "text", "lang"), "doc_id", "text", "lang").collect()
     assert sorted(tuple(x) for x in got) == [(2, 0, 4), (2, 0, 4), (2, 5, 9), (2, 5, 9)]
     assert isinstance(pd.DataFrame(got), pd.DataFrame)
+
+
+def test_long_items_and_documents():
+    r = random.Random(7)
+    word = lambda: r.choice(WORDS)
+    item = " ".join(word() for _ in range(2_000))
+    ih, ig = leakage.hashes(item)[0], np.unique(leakage.seeds(item)[0])
+    doc = " ".join(word() for _ in range(5_000)) + " " + item + " " + " ".join(word() for _ in range(5_000))
+    g, at = leakage.seeds(doc)
+    share, lo, hi = leakage.leaked_share(ih, leakage.hashes(doc)[0], at[np.isin(g, ig)])
+    assert share > 0.99 and abs(lo - 5_000) < 10 and abs(hi - 7_000) < 10
+    short = " ".join(item.split()[:40])
+    ih, ig = leakage.hashes(short)[0], np.unique(leakage.seeds(short)[0])
+    many = " ".join([short] * 3_000)
+    g, at = leakage.seeds(many)
+    assert leakage.leaked_share(ih, leakage.hashes(many)[0], at[np.isin(g, ig)])[0] == 1.0
+
+
+def test_long_paragraphs_stay_linear():
+    import time
+
+    cut = sentences.Splitter({"en": sentences.Model()})
+    for text, n in (("Some words here.\n" * 40_000, 40_000), ("line without an end\n" * 40_000, None), ("ประกาศ 71 ห้ามส่งเงิน " * 20_000, None), ('"Odd quote. ' * 30_000, None)):
+        began = time.time()
+        units = cut.split(text, "en")
+        assert time.time() - began < 20 and units[-1][1] == len(text.rstrip())
+        assert n is None or len(units) == n

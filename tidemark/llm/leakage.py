@@ -27,6 +27,8 @@ BROADCAST_SEEDS = 1_000_000  # seed rows (16 bytes each) up to which the seeds a
 MATCH, MISMATCH, GAP = 1, -2, -2
 MIN_SEGMENT = 7  # score of the weakest passage that counts
 MIN_SHARE = 1 / 3
+PIECE = 600  # words of an item aligned at once
+WINDOW = 40  # item lengths of a document aligned at once
 NEAR = 3  # passages may lie so many item lengths apart
 
 _TOKENS = re.compile(r"[㐀-䶿一-鿿぀-ヿ]|[^\W_㐀-䶿一-鿿぀-ヿ]+")
@@ -39,10 +41,14 @@ def tokens(text: str) -> list[str]:
 
 
 @lru_cache(1 << 17)
-def _hash(word: str) -> int:
+def _short_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
+def _hash(word: str) -> int:
+    return _short_hash(word) if len(word) <= 64 else xxhash.xxh3_64_intdigest(word) - (1 << 63)
+
+
 def hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes and whether each is a Han or Kana character."""
     t = tokens(text)
@@ -115,19 +121,29 @@ def leaked_share(item: np.ndarray, doc: np.ndarray, hits: np.ndarray) -> tuple[f
 
     ``hits``: places of seeds in the document. Every cluster of seeds is aligned;
     the best cluster counts. Within one, further passages before and after the best
-    are added.
+    are added. Items of more than PIECE words are aligned piece by piece, each where it
+    fits best.
     """
     m = len(item)
+    if m > PIECE:
+        found = [leaked_share(item[k : k + PIECE], doc, hits) for k in range(0, m, PIECE)]
+        sizes = [min(PIECE, m - k) for k in range(0, m, PIECE)]
+        some = [x for x in found if x[0] > 0]
+        total = sum(x[0] * n for x, n in zip(found, sizes)) / m
+        return (total, min(x[1] for x in some), max(x[2] for x in some)) if some else (0.0, 0, 0)
     best = (0.0, 0, 0)
     reach = NEAR * m
     hits = np.sort(hits)
     cuts = np.flatnonzero(np.diff(hits) > reach)
     starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(hits) - 1]])
     for s, e in zip(starts, ends):
-        lo, hi = max(0, hits[s] - m), min(len(doc), hits[e] + m + N_HAN)
-        n, first, last = _passages(item, doc[lo:hi])
-        if n / m > best[0]:
-            best = (n / m, lo + first, lo + last + 1)
+        lo, hi = max(0, int(hits[s]) - m), min(len(doc), int(hits[e]) + m + N_HAN)
+        # a cluster longer than a window is aligned window by window, each overlapping the next by half
+        for a in range(lo, max(lo + 1, hi - WINDOW * m // 2), WINDOW * m // 2):
+            b = min(hi, a + WINDOW * m)
+            n, first, last = _passages(item, doc[a:b])
+            if n / m > best[0]:
+                best = (n / m, a + first, a + last + 1)
     return best
 
 
@@ -177,11 +193,11 @@ def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str
     texts = pairs.join(corpus.withColumnRenamed("id", "doc").withColumnRenamed("text", "doc_text"), "doc").join(apart.select("item", "item_text"), "item")
 
     def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        @lru_cache(256)
+        @lru_cache(4)
         def doc_parts(t: str):
             return (hashes(t)[0], *seeds(t))
 
-        @lru_cache(2048)
+        @lru_cache(256)
         def item_parts(t: str):
             return hashes(t)[0], np.unique(seeds(t)[0])
 

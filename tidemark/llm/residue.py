@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import letters, plain, with_flags
+from tidemark.llm.frames import letters, plain, remembered, with_flags
 from tidemark.session import durable
 
 LOW_LINES = 6  # body lines up to which a body may be judged low in information
@@ -68,7 +67,7 @@ _FILLER, _MESSAGE, _SCRIPT = _whole(FILLER), _whole(MESSAGES), _whole(SCRIPTS)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-@lru_cache(1 << 16)
+@remembered(1 << 16)
 def residue_class(line: str) -> str:
     """'placeholder', 'filler', 'message', 'script' or ''; by the line alone."""
     p = plain(line).strip()

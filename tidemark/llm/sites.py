@@ -22,11 +22,6 @@ def site_of(url: Column) -> Column:
     return F.regexp_replace(host, r"^www\.", "")
 
 
-def letters_of(line: Column) -> Column:
-    """What counts when lines are compared: letters with their accents, case folded."""
-    return F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}]+", "")
-
-
 def line_table(df: DataFrame, doc: str, group: str, url: str, text: str) -> DataFrame:
     """Compact lines: doc, g (hash of the group), h1, h2 (hash of site and letters), line_no from 1.
 
@@ -42,7 +37,7 @@ def line_table(df: DataFrame, doc: str, group: str, url: str, text: str) -> Data
 
 
 def letters_lines(text: Column) -> Column:
-    """:func:`letters_of` over all lines of a text at once."""
+    """A text with only what counts when lines are compared: letters with their accents, case folded; lines stay."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\n]+", "")
 
 

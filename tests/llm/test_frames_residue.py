@@ -84,3 +84,16 @@ def test_queries_run(spark, small):
     assert {x.rec_table for x in p6.select("rec_table").distinct().collect()} == {"snapshots", "changes"}
     main = {x.snapshot_id: x.main_text for x in queries.p6_main_text(spark, small).collect()}
     assert len(main) == len(found) + len(kept)
+
+
+def test_shared_lines_need_no_word_list(spark):
+    def german(i):
+        t = f"gebühren {'abcdefghij'[i]}"
+        body = [f"der schalter {'klmnopqrst'[i] * 3} ist offen.", "unterlagen", f"antrag {'klmnopqrst'[i] * 4} bitte mitbringen.", "alle angaben ohne gewähr."]
+        return "\n".join([t, "startseite", "amt und bürger", f"startseite > ämter > {t}", "diese seite speichert daten im gerät.", "ablehnen", "zustimmen", *body, "nach oben springen und dort noch einmal alle weiteren dienste des amtes ansehen"])
+
+    same = "kopie\nüberschrift der kopie\nein satz der kopie."
+    rows = [(i, f"https://de/p/{i}", german(i)) for i in range(8)] + [(20 + i, f"https://mirror/p/{i}", same) for i in range(4)]
+    got = {x.snapshot_id: x.codes for x in frames.with_flags(frame(spark, rows)).collect()}
+    assert {got[i] for i in range(8)} == {"TFFFFFFBBBBF"}
+    assert {got[20 + i] for i in range(4)} == {"TBB"}

@@ -2,9 +2,9 @@
 
 Method: pages are paired with their nearest pages by URL path within each host,
 their lines are aligned by longest common subsequence, and shared lines are
-deleted. A check follows: shared sentences, titles and list items stay, and the
-parts of the frame that differ from page to page (breadcrumb, sidebar links, page
-numbers) go with the frame they belong to.
+deleted. A check follows: shared titles, and sentences, headings and list items that
+stand in the body, stay; the parts of the frame that differ from page to page
+(breadcrumb, sidebar links, page numbers) go with the frame they belong to.
 """
 
 from __future__ import annotations
@@ -152,15 +152,8 @@ def frame_flags(lines: list[str], shared: set[int], title: int | None = 0) -> li
             i = j
         else:
             i += 1
-    # lines shared with the nearest pages that are no sentences and stand next to the frame
     if shared:
-        common = [kinds[i] == "" and _short(lines[i]) and letters(lines[i]) != head and key_of(lines[i]) in shared for i in range(n)]
-        for order in (range(n), range(n - 1, -1, -1)):
-            step = 1 if order.step > 0 else -1
-            for i in order:
-                near = i - step
-                if common[i] and not flags[i] and ((0 <= near < n and flags[near]) or (step < 0 and i == n - 1)):
-                    flags[i] = True
+        _delete_shared(lines, kinds, flags, head, shared)
     # links below a sidebar heading
     for i in range(n):
         if kinds[i] == "s":
@@ -173,6 +166,56 @@ def frame_flags(lines: list[str], shared: set[int], title: int | None = 0) -> li
     return flags
 
 
+def _delete_shared(lines: list[str], kinds: list[str], flags: list[bool], head: str | None, shared: set[int]) -> None:
+    """Flags the lines shared with the nearest pages that the check does not keep; the word lists are not needed for it.
+
+    Kept are the title; headings and items that stand free within the body (no run of
+    lines joins them to the page's edge or to other frame lines); and sentences, unless
+    the frame or the title is right before and shared buttons are right after them (a
+    consent text). Where the whole body is shared, the pages are copies of each other,
+    and only short lines beside listed ones go.
+    """
+    n = len(lines)
+    first = 0 if head is None else 1
+    votes = [i >= first and letters(lines[i]) not in ("", head) and key_of(lines[i]) in shared for i in range(n)]
+    sentence = [bool(_END.search(x)) for x in lines]
+
+    def joined(found: list[bool], edge: bool) -> list[bool]:
+        for order in (range(first, n), range(n - 1, first - 1, -1)):
+            near = edge or order.step < 0
+            for i in order:
+                near = found[i] = found[i] or (near and votes[i] and kinds[i] == "" and not sentence[i] and (edge or _short(lines[i])))
+        return found
+
+    found = list(flags)
+    for i in range(first, n):
+        if kinds[i] == "" and head and len(parts := _CRUMBS.split(plain(lines[i]).strip())) > 1 and letters(parts[-1]) == head:
+            found[i] = True  # a breadcrumb ends in the page's title
+    found = joined(found, True)
+    i = first
+    while i < n:
+        j = i
+        while j < n and votes[j] and not found[j]:
+            j += 1
+        # a text and its buttons: several, in one line or more; a single prompt also stands within bodies
+        if i < j and (i == first or found[i - 1]) and sentence[j - 1]:
+            found[i:j] = [_buttons(lines[j : j + 2 if all(votes[j : j + 2]) else j + 1] if j < n and votes[j] else [])] * (j - i)
+        elif i < j and (i == first or found[i - 1]):
+            last = max((k for k in range(i, j) if sentence[k]), default=i)
+            if _buttons(lines[last + 1 : j][:2]):
+                found[i:j] = [not sentence[k] or k <= last for k in range(i, j)]
+        i = max(j, i + 1)
+    if all(found[i] or votes[i] or not lines[i].strip() or letters(lines[i]) == head for i in range(first, n)):
+        found = joined(list(flags), False)
+    flags[:] = found
+
+
+def _buttons(lines: list[str]) -> bool:
+    """Two lines that may be buttons, or one line of several."""
+    parts = _SEPARATED.split(lines[0]) if lines else []
+    return (len(lines) == 2 and all(_short(x) and line_class(x) != "s" and len(x.split()) <= 3 for x in lines)) or (len(parts) > 1 and any(letters(x) not in _MENU for x in parts) and _short(lines[0]))
+
+
 def _link(line: str) -> bool:
     """May be a link's text: no sentence, no sum of money, not a bare article with a thing."""
     return not _END.search(line) and "$" not in line and len(line) <= 90 and not re.match(r"(an?|una?|une) ", line)

@@ -97,3 +97,13 @@ def test_shared_lines_need_no_word_list(spark):
     got = {x.snapshot_id: x.codes for x in frames.with_flags(frame(spark, rows)).collect()}
     assert {got[i] for i in range(8)} == {"TFFFFFFBBBBF"}
     assert {got[20 + i] for i in range(4)} == {"TBB"}
+
+
+def test_every_text_of_a_page_is_aligned(spark):
+    def old(i, line):
+        return "\n".join([f"titel {'abcdefgh'[i]}", f"der schalter {'klmnopqr'[i] * 3} ist offen.", f"antrag {'klmnopqr'[i] * 4} bitte mitbringen.", line])
+
+    rows = [(i, f"https://de/p/{i}", old(i, "frühere fußzeile des amtes")) for i in range(6)] + [(100 + i, f"https://de/p/{i}", old(i, "neue fußzeile des amtes")) for i in range(6)]
+    rows += [(200 + i, f"https://query/page?id={i}", old(i, "fußzeile der abfragen")) for i in range(6)]
+    got = {x.snapshot_id: x.codes for x in frames.with_flags(frame(spark, rows)).collect()}
+    assert len(got) == len(rows) and set(got.values()) == {"TBBF"}, got

@@ -20,11 +20,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.looks import with_canonical
+from tidemark.llm.looks import look_hash, with_canonical
 from tidemark.llm.sites import site_of
-from tidemark.plans.ordered import previous_row, range_blocks
+from tidemark.plans.ordered import previous_row, range_blocks, running_max
 from tidemark.session import durable
 
+WEEK = 7 * 86_400 * 1_000_000  # microseconds; block of time
 VOTES = 0.6  # share of the paired pages that must share a line
 BROADCAST_PAGES = 200_000  # page rows (some 150 bytes each) up to which their keys are broadcast
 
@@ -158,7 +159,7 @@ def frame_flags(lines: list[str], shared: set[int], title: int | None = 0) -> li
     for i in range(n):
         if kinds[i] == "s":
             j = i + 1
-            while j < n and j - i <= 4 and kinds[j] == "" and not flags[j] and _link(lines[j]) and not (j - i > 2 and letters(lines[j]) == head):
+            while j < n and j - i <= 4 and kinds[j] == "" and _link(lines[j]) and not (j - i > 2 and letters(lines[j]) == head):
                 flags[j] = True
                 j += 1
     if title is not None and n:
@@ -226,6 +227,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"/+$", "")
 
 
+def query_of(url: Column) -> Column:
+    """Query in lower case, empty where there is none."""
+    return F.coalesce(F.regexp_extract(F.lower(F.trim(url)), r"^[^?#]*\?([^#]*)", 1), F.lit(""))
+
+
 def _edges(pages: DataFrame) -> DataFrame:
     """(a, b): pages next to each other by path within their site, one and two steps apart.
 
@@ -269,33 +275,53 @@ def lcs_keys(a: list[int], b: list[int]) -> list[int]:
 
 def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        pages: list[int] = []
+        texts: list[int] = []
         keys: list[int] = []
-        for a, b, ta, tb in zip(f["a"], f["b"], f["ta"], f["tb"]):
-            own = set(lcs_keys([key_of(x) for x in ta.split("\n")[1:]], [key_of(x) for x in tb.split("\n")[1:]]))
-            for page in (a, b):
-                pages += [page] * (len(own) + 1)
-                keys += [*own, 0]  # key 0 counts the pairs
-        yield pd.DataFrame({"page": pd.Series(pages, dtype="int64"), "key": pd.Series(keys, dtype="int64")})
+        for a, b, ka, kb, for_a, for_b in zip(f["a"], f["b"], f["ka"], f["kb"], f["for_a"], f["for_b"]):
+            own = {*lcs_keys(ka.tolist()[1:], kb.tolist()[1:])}
+            for text, asked in ((a, for_a), (b, for_b)):
+                if asked:
+                    texts += [text] * (len(own) + 1)
+                    keys += [*own, 0]  # key 0 counts the pairs
+        yield pd.DataFrame({"page": pd.Series(texts, dtype="int64"), "key": pd.Series(keys, dtype="int64")})
 
 
-def shared_keys(snaps: DataFrame) -> DataFrame:
-    """(site, path, keys): for each page the keys of the lines most of its nearest pages have too.
+def _nearest_texts(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """(page, other): each text with the text nearest in time of each page that its own is paired with.
 
-    ``snaps``: snapshot_id, site, path, fetched_at, normalized_text. A page's newest
-    text stands for it, and only these texts are brought into their canonical form.
-    Pages alone on their site get no row.
+    ``edges``: a, b, page numbers, each pair once; ``texts``: number, page, at. No pair of pages is
+    multiplied out: the texts of both are ordered by time and the last and next ones carried along.
+    """
+    ways = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    own, other = F.struct("at", "page"), F.lit(None).cast("struct<at:bigint,page:bigint>")
+    asking = ways.join(texts.withColumnRenamed("number", "a"), "a").select("a", "b", "at", "page", other.alias("there"), other.alias("back"), F.lit(True).alias("asks"))
+    mirrored = F.struct((-F.col("at")).alias("at"), "page")
+    given = ways.join(texts.withColumnRenamed("number", "b"), "b").select("a", "b", "at", "page", own.alias("there"), mirrored.alias("back"), F.lit(False).alias("asks"))
+    both = asking.unionByName(given).withColumn("late", -F.col("at"))
+    past = durable(running_max(both, ["a", "b"], ["at", "asks", "page"], F.floor(F.col("at") / WEEK), "there", "last"))
+    full = running_max(past, ["a", "b"], ["late", "asks", "page"], F.floor(F.col("late") / WEEK), "back", "next")
+    nearer = F.col("next").isNull() | (F.col("at") - F.col("last.at") <= -F.col("next.at") - F.col("at"))
+    return full.filter("asks").select("page", F.when(F.col("last").isNotNull() & nearer, F.col("last.page")).otherwise(F.col("next.page")).alias("other")).filter(F.col("other").isNotNull())
+
+
+def shared_keys(texts: DataFrame) -> DataFrame:
+    """(page, keys): for each text the keys of the lines most of its nearest pages have too.
+
+    ``texts``: page (the text's number), site, path, at, line_keys. Every text of a page is
+    aligned, with the texts of the neighbours nearest in time. Texts alone on their
+    site get no row.
     """
-    newest = snaps.groupBy("site", "path").agg(F.max(F.struct("fetched_at", "snapshot_id")).alias("m")).select("site", "path", F.col("m.snapshot_id").alias("page"))
-    newest = range_blocks(newest, ["site", "path", "page"])
-    texts = snaps.select(F.col("snapshot_id").alias("page"), "normalized_text").join(_small(newest.select("page")), "page", "left_semi")
-    texts = durable(with_canonical(texts, "normalized_text", "form").select("page", "form"))
-    edges = _edges(newest)
-    pairs = edges.join(texts.select(F.col("page").alias("a"), F.col("form").alias("ta")), "a").join(texts.select(F.col("page").alias("b"), F.col("form").alias("tb")), "b")
-    votes = pairs.select("a", "b", "ta", "tb").mapInPandas(_shared, "page bigint, key bigint").groupBy("page", "key").agg(F.count(F.lit(1)).alias("n"))
+    pages = range_blocks(texts.groupBy("site", "path").agg(F.min("page").alias("page")), ["site", "path", "page"])
+    numbered = durable(texts.select("site", "path", "at", "page").join(pages.select("site", "path", F.col("page").alias("number")), ["site", "path"]).select("number", "page", "at"))
+    # lineage is cut before each step: the plans of neighbours double with each of them
+    wanted = _nearest_texts(durable(_edges(pages)), numbered)
+    lower = F.col("page") < F.col("other")
+    pairs = wanted.groupBy(F.least("page", "other").alias("a"), F.greatest("page", "other").alias("b")).agg(F.bool_or(lower).alias("for_a"), F.bool_or(~lower).alias("for_b"))
+    pairs = durable(pairs).join(texts.select(F.col("page").alias("a"), F.col("line_keys").alias("ka")), "a").join(texts.select(F.col("page").alias("b"), F.col("line_keys").alias("kb")), "b")
+    votes = pairs.select("a", "b", "ka", "kb", "for_a", "for_b").mapInPandas(_shared, "page bigint, key bigint").groupBy("page", "key").agg(F.count(F.lit(1)).alias("n"))
     ballots = votes.filter(F.col("key") == 0).select("page", F.col("n").alias("of"))
     kept = votes.filter(F.col("key") != 0).join(ballots, "page").filter(F.col("n") >= F.col("of") * VOTES)
-    return newest.join(kept.groupBy("page").agg(F.collect_list("key").alias("keys")), "page").select("site", "path", "keys")
+    return kept.groupBy("page").agg(F.collect_list("key").alias("keys"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -304,31 +330,59 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def prepared(df: DataFrame) -> DataFrame:
-    """Snapshots with site and path; rows without an id or text are left out."""
+    """Snapshots with site and path; rows without an id or text are left out.
+
+    The query belongs to the path where the path alone does not tell pages apart:
+    each query there has one title, and not all titles are the same.
+    """
     kept = df.select(F.col("snapshot_id").cast("bigint").alias("snapshot_id"), "url", "fetched_at", "normalized_text").filter(F.col("snapshot_id").isNotNull() & F.col("normalized_text").isNotNull())
-    return kept.withColumn("site", F.coalesce(site_of(F.col("url")), F.lit(""))).withColumn("path", F.coalesce(path_of(F.col("url")), F.lit(""))).drop("url")
+    kept = kept.withColumn("site", F.coalesce(site_of(F.col("url")), F.lit(""))).withColumn("path", F.coalesce(path_of(F.col("url")), F.lit(""))).withColumn("query", query_of(F.col("url"))).drop("url")
+    titles = kept.groupBy("site", "path", "query").agg(*[f(F.xxhash64(F.substring_index("normalized_text", "\n", 1))).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    apart = titles.groupBy("site", "path").agg(F.bool_and(F.col("lo") == F.col("hi")).alias("one"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(F.col("one") & (F.col("lo") != F.col("hi")))
+    kept = kept.join(_small(apart.select("site", "path", F.lit(True).alias("apart"))), ["site", "path"], "left")
+    return kept.withColumn("path", F.when(F.col("apart") & (F.col("query") != ""), F.concat("path", F.lit("?"), "query")).otherwise(F.col("path"))).drop("apart", "query")
 
 
-def with_flags(df: DataFrame, text: bool = False) -> DataFrame:
-    """snapshot_id, site, path, codes - one letter per line, T the title, F frame, B body - and line_keys, or ``form`` with ``text``.
+def coded_texts(df: DataFrame, text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(snapshot_id, page) of every snapshot, and for each distinct text of a page: page, site, path, codes, and line_keys, or ``form`` with ``text``.
 
-    ``df``: snapshot_id, url, fetched_at, normalized_text; other columns are not
-    read. An empty text is one empty title line. A null url is a page without
-    neighbours. Repeated rows are each coded.
+    ``page`` is the smallest snapshot_id that has the text. ``df`` as in :func:`with_flags`.
     """
     snaps = prepared(df)
-    keys = durable(shared_keys(snaps))
-    joined = with_canonical(snaps, "normalized_text", "form").select("snapshot_id", "site", "path", "form").join(_small(keys), ["site", "path"], "left")
+    h1, h2 = look_hash(F.col("normalized_text"))
+    hashed = snaps.select("snapshot_id", "site", "path", F.coalesce(F.unix_micros(F.col("fetched_at").cast("timestamp")), F.lit(0)).alias("at"), h1.alias("h1"), h2.alias("h2"))
+    by = ["site", "path", "h1", "h2"]
+    first = durable(hashed.groupBy(*by).agg(F.min("snapshot_id").alias("page"), F.max("at").alias("at")))
+    rows = hashed.select("snapshot_id", *by).join(first.select(*by, "page"), by).select("snapshot_id", "page")
+    own = snaps.select(F.col("snapshot_id").alias("page"), "normalized_text").join(first.select("page", "site", "path", "at"), "page")
+
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f["line_keys"] = [[key_of(x) for x in t.split("\n")] for t in f["form"]]
+            yield f[["page", "site", "path", "at", "form", "line_keys"]]
+
+    forms = with_canonical(own, "normalized_text", "form").select("page", "site", "path", "at", "form")
+    texts = durable(forms.mapInPandas(keyed, "page bigint, site string, path string, at bigint, form string, line_keys array<bigint>").dropDuplicates(["page"]))
+    joined = texts.join(shared_keys(texts), "page", "left")
     last = "form" if text else "line_keys"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             f["codes"] = [codes_of(t, k) for t, k in zip(f["form"], f["keys"])]
-            if not text:
-                f["line_keys"] = [[key_of(x) for x in t.split("\n")] for t in f["form"]]
-            yield f[["snapshot_id", "site", "path", "codes", last]]
+            yield f[["page", "site", "path", "codes", last]]
+
+    return rows, joined.select("page", "site", "path", "form", *([] if text else ["line_keys"]), "keys").mapInPandas(run, f"page bigint, site string, path string, codes string, {'form string' if text else 'line_keys array<bigint>'}")
+
 
-    return joined.mapInPandas(run, f"snapshot_id bigint, site string, path string, codes string, {'form string' if text else 'line_keys array<bigint>'}")
+def with_flags(df: DataFrame, text: bool = False) -> DataFrame:
+    """snapshot_id, site, path, codes - one letter per line, T the title, F frame, B body - and line_keys, or ``form`` with ``text``.
+
+    ``df``: snapshot_id, url, fetched_at, normalized_text; other columns are not
+    read. An empty text is one empty title line. A null url is a page without
+    neighbours. Repeated rows are each coded. ``path`` has the query where it tells pages apart.
+    """
+    rows, coded = coded_texts(df, text)
+    return rows.join(coded, "page").select("snapshot_id", "site", "path", "codes", "form" if text else "line_keys")
 
 
 def codes_of(text: str, keys: np.ndarray | None) -> str:
@@ -364,12 +418,16 @@ def diff_frame_lines(changes: DataFrame, coded: DataFrame) -> DataFrame:
 
     diffs = changes.select("change_id", "url", "diff_excerpt").filter(F.col("change_id").isNotNull() & F.col("diff_excerpt").isNotNull()).distinct()
     diffs = diffs.withColumn("site", F.coalesce(site_of(F.col("url")), F.lit(""))).withColumn("path", F.coalesce(path_of(F.col("url")), F.lit("")))
-    diffs = with_canonical(diffs, "diff_excerpt", "form").select("change_id", "site", "path", "form")
-    wanted = diffs.select("site", "path").distinct()
+    diffs = diffs.withColumn("full", F.concat("path", F.lit("?"), query_of(F.col("url"))))
+    diffs = with_canonical(diffs, "diff_excerpt", "form").select("change_id", "site", "path", "full", "form")
+    wanted = diffs.select("site", "path").unionByName(diffs.select("site", F.col("full").alias("path"))).distinct()
     seen = coded.join(_small(wanted), ["site", "path"], "left_semi").select("site", "path", F.explode(F.arrays_zip("line_keys", F.split("codes", "").alias("code"))).alias("x"))
     lines = seen.groupBy("site", "path", F.col("x.line_keys").alias("key")).agg(F.bool_and(F.col("x.code") == "F").alias("frame"))
     keys = lines.filter("frame").groupBy("site", "path").agg(F.collect_list("key").alias("keys"))
-    return diffs.join(keys, ["site", "path"], "left").mapInPandas(found, "change_id string, line_no int").distinct()
+    # a page that its query tells apart is known by its full path
+    exact = lines.groupBy("site", F.col("path").alias("full")).agg(F.collect_list(F.when(F.col("frame"), F.col("key"))).alias("exact"))
+    known = diffs.join(keys, ["site", "path"], "left").join(exact, ["site", "full"], "left").select("change_id", "form", F.coalesce("exact", "keys").alias("keys"))
+    return known.mapInPandas(found, "change_id string, line_no int").distinct()
 
 
 def diff_flags(text: str, known: set[int]) -> list[int]:

@@ -107,3 +107,9 @@ def test_every_text_of_a_page_is_aligned(spark):
     rows += [(200 + i, f"https://query/page?id={i}", old(i, "fußzeile der abfragen")) for i in range(6)]
     got = {x.snapshot_id: x.codes for x in frames.with_flags(frame(spark, rows)).collect()}
     assert len(got) == len(rows) and set(got.values()) == {"TBBF"}, got
+
+
+def test_evidence_is_of_the_whole_body(spark):
+    rows = [(1, "https://h/fees/1", "\n".join(["fees today", "the fees desk is open daily.", *["{{ hours }}"] * 9]))]
+    got = residue.residue_evidence(frame(spark, rows)).collect()[0]
+    assert (got.n_body, got.n_bad, got.overlap, got.residue) == (10, 9, 1, False)

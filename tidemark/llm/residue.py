@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import letters, plain, remembered, with_flags
+from tidemark.llm.frames import coded_texts, letters, plain, remembered
 from tidemark.session import durable
 
 LOW_LINES = 6  # body lines up to which a body may be judged low in information
@@ -132,10 +132,9 @@ def filler_vocabulary(snaps: DataFrame, text: str) -> set[str]:
 
 
 def _judge(coded: DataFrame, vocabulary: set[str]) -> DataFrame:
-    """Per snapshot the counts of its body lines and the hash of its body.
+    """Per distinct text (``page``) the counts of its body lines and the hash of its body.
 
-    A body of more than LOW_LINES lines is read up to its first line that is no
-    residue: that decides it, and the terms and hash serve short bodies only.
+    Counts and overlap are of the whole body, whatever its length.
     """
     shared = coded.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -143,34 +142,26 @@ def _judge(coded: DataFrame, vocabulary: set[str]) -> DataFrame:
         words = shared.value
         for f in frames:
             rows = []
-            for sid, site, path, text, codes in zip(f["snapshot_id"], f["site"], f["path"], f["form"], f["codes"]):
+            for page, site, path, text, codes in zip(f["page"], f["site"], f["path"], f["form"], f["codes"]):
                 title, body = _body(text, codes)
                 low = len(body) <= LOW_LINES
-                bad = []
-                for x in body:
-                    if residue_class(x) or filler_share(x, words) >= 0.8:
-                        bad.append(x)
-                    elif not low:
-                        break
-                if not low and len(bad) < len(body):
-                    rows.append((sid, site, path, len(body), len(bad), False, 0, 0, []))
-                    continue
+                bad = [x for x in body if residue_class(x) or filler_share(x, words) >= 0.8]
                 slug = {w for w in re.split(r"[^a-z]+", path.rsplit("/", 2)[-2] if path.count("/") > 1 else path) if len(w) > 2}
                 terms = set(_WORDS.findall(plain(" ".join(body))))
                 heads = set(_WORDS.findall(plain(title)))
                 odd = [x for x in body if x not in set(bad)] if low else []
                 rows.append((
-                    sid, site, path, len(body), len(bad), bool(residue_class(title)) or filler_share(title, words) >= 0.8,
+                    page, site, path, len(body), len(bad), bool(residue_class(title)) or filler_share(title, words) >= 0.8,
                     len(terms & (slug | heads)), xxhash.xxh3_64_intdigest(re.sub(r"\d+", "#", "\n".join(sorted(map(plain, body))))) - (1 << 63),
                     [xxhash.xxh3_64_intdigest(letters(x) or plain(x)) - (1 << 63) for x in odd],
                 ))
-            yield pd.DataFrame(rows, columns=["snapshot_id", "site", "path", "n_body", "n_bad", "bad_title", "overlap", "body", "odd"])
+            yield pd.DataFrame(rows, columns=["page", "site", "path", "n_body", "n_bad", "bad_title", "overlap", "body", "odd"])
 
-    return coded.select("snapshot_id", "site", "path", "form", "codes").mapInPandas(run, "snapshot_id bigint, site string, path string, n_body int, n_bad int, bad_title boolean, overlap int, body bigint, odd array<bigint>")
+    return coded.select("page", "site", "path", "form", "codes").mapInPandas(run, "page bigint, site string, path string, n_body int, n_bad int, bad_title boolean, overlap int, body bigint, odd array<bigint>")
 
 
 def residue_evidence(snaps: DataFrame) -> DataFrame:
-    """Per snapshot: n_body, n_bad, overlap, copies, host_lines and ``residue``.
+    """Per snapshot: n_body, n_bad, overlap, copies and ``residue``.
 
     ``snaps``: snapshot_id, url, fetched_at, normalized_text. A snapshot is residue when it has a
     body and every line of it is a placeholder, filler, a message or a script
@@ -179,7 +170,8 @@ def residue_evidence(snaps: DataFrame) -> DataFrame:
     title, recurs on at least LEARN_PAGES other addresses and is far shorter than
     its host's pages. Pages without body and with a normal title are none.
     """
-    judged = durable(_judge(with_flags(snaps, text=True), filler_vocabulary(snaps, "normalized_text")))
+    pages, coded = coded_texts(snaps, text=True)
+    judged = durable(pages.join(_judge(coded, filler_vocabulary(snaps, "normalized_text")), "page").drop("page"))
     # a short body's other lines, and how often each stands among residue
     odd = judged.filter(F.size("odd") > 0).select("snapshot_id", "path", (F.col("n_bad") >= F.size("odd")).alias("mostly"), F.explode("odd").alias("line"))
     lines = odd.groupBy("line").agg(F.avg(F.col("mostly").cast("int")).alias("share"), F.approx_count_distinct("path").alias("paths"))

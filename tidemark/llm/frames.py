@@ -2,16 +2,21 @@
 
 Method: pages are paired with their nearest pages by URL path within each host,
 their lines are aligned by longest common subsequence, and shared lines are
-deleted. A check follows: shared titles, and sentences, headings and list items that
-stand in the body, stay; the parts of the frame that differ from page to page
-(breadcrumb, sidebar links, page numbers) go with the frame they belong to.
+deleted. No wording is known beforehand. A shared line goes where it belongs to a run of
+shared lines at the page's edge; what is deleted so is counted over all pages, and a
+line of which enough was deleted is deleted wherever it stands. Headings of link
+blocks, the length of these blocks and the words that begin list items rather than
+links are counted in the same pass, so that the links, which differ from page to
+page, go with their heading.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata as ud
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache, wraps
 
 import numpy as np
@@ -27,49 +32,27 @@ from tidemark.session import durable
 
 WEEK = 7 * 86_400 * 1_000_000  # microseconds; block of time
 VOTES = 0.6  # share of the paired pages that must share a line
-BROADCAST_PAGES = 200_000  # page rows (some 150 bytes each) up to which their keys are broadcast
-
-# Navigation words, one item each.
-MENU = """
-home | news | contact us | services a to z | about the office | skip to main content | sign in | for residents | for employers | my account
-locations | search | accessibility | fees | menu | courts | forms | records | book a visit | travel papers | work with us | open data
-report a problem | languages | notices | queue board | about us | contact | help | services | log in | site map | imprint | privacy | terms
-inicio | noticias | contacto | trámites de la a a la z | saltar al contenido | iniciar sesión | pedir cita | ayuda | menú | accesibilidad
-sucursales | buscar | tarifas | formularios | accueil | actualités | nous joindre | rendez-vous | aide | bureaux | formulaires | tarifs | chercher | menu
-главная | новости | контакты | помощь | сборы | адреса | бланки | поиск | меню | запись на приём
-首页 | 新闻 | 联系我们 | 帮助 | 预约 | 地点 | 收费 | 表格 | 搜索 | 菜单
-"""
-# Headings of sidebars.
-SIDEBAR = """
-you may also need | most read | in this section | related pages | popular forms | quick links | see also | related links
-enlaces rápidos | páginas relacionadas | lo más leído | en esta sección | liens rapides | pages liées | dans cette section | les plus lus
-быстрые ссылки | похожие страницы | в этом разделе | 常用链接 | 相关页面 | 快速链接
-"""
-# Beginnings of consent notices.
-CONSENT = r"""
-we use small files to | we use cookies | cookies on this site | this site stores browser data | this site uses cookies | with your consent we and
-este sitio guarda datos | usamos archivos pequeños | con su permiso | con su consentimiento | nous utilisons des fichiers | ce site garde des témoins | avec votre accord
-мы используем файлы | сайт хранит данные | с вашего согласия | 本站使用小型文件 | 我们保存浏览数据 | 经您同意
-"""
-# Buttons, prompts and footer lines that are whole lines.
-WHOLE = r"""
-reject | accept | accept all | reject all | manage choices | only what is needed | read our data notice | got it | rechazar | aceptar | aceptar todo | ver opciones
-refuser | accepter | tout accepter | voir les choix | отказаться | принять | принять все | 拒绝 | 接受 | 全部接受 | 查看选项
-send to a friend | listen to this page | subscribe to notices | back to top | follow the office on the neighbourhood feed | all forms are free to copy
-was this page useful? yes no | ¿le sirvió esta página? sí no | cette page est-elle utile ? oui non | volver arriba | haut de page | наверх | поделиться | 返回顶部
-compartir esta página | partager cette page | 分享本页 | print | imprimir | imprimer | печать | 打印
-"""
-# Patterns of prompts and footer lines.
-PATTERNS = [
-    r"share this (page|board|site)", r"was this (page|board) (useful|helpful)\b.*", r"¿le sirvio esta pagina\b.*", r"cette page (vous )?(est-elle|a-t-elle) .*\?.*", r"страница (была )?полезна\?.*", r"本页有用吗.*",
-    r"(©|\(c\)) ?\d{4}.*", r"page id \d+", r"site build [\d.]+", r"(page )?last (checked|updated|reviewed):? [\d-]+", r"page last checked [\d-]+", r"ultima revision [\d-]+", r"page revue le [\d-]+", r"проверено [\d-]+", r"更新于[\d-]+",
-    r"help line [\d-]+", r"call [\d-]+ on weekdays", r"llame al [\d-]+", r"tel\. ?[\d-]+", r"тел\. ?[\d-]+", r"电话 ?[\d-]+", r"run by the \S+( \S+)? web desk", r"\d+ [^\W\d]+( [^\W\d]+)? (road|street|avenue|lane|drive), [^\W\d]+( [^\W\d]+)?", r"calle [^\W\d]+( [^\W\d]+)? \d+", r"\d+,? rue .{3,40}", r"ул\. .{3,40}\d+",
-]
-# Beginnings of breadcrumbs.
-CRUMB = r"(you are here:|»|home >|> )"
+BROADCAST_ROWS = 1_000_000  # rows of fixed width (at most 16 bytes each) up to which a side is broadcast
+# What makes a line a frame line everywhere, as shares of the pages that hold it; a page's versions count as one page.
+DELETED = 0.05  # deleted at a page's edge, of the pages where neighbours share it
+DELETED_SENTENCE = 0.4  # the same for a sentence, which also stands in bodies
+SHARED = 0.2  # shared with neighbours, of all its pages
+DELETED_RARE = 0.6  # as DELETED, for lines shared by fewer pages, ...
+SHARED_RARE = 0.02  # ... but by so many
+LINKS = 0.8  # followed by a line of the page's own that is no sentence: the heading of a link block
+CLOSED = 0.1  # of these, the block ends at a shared line or with the page
+CLOSED_MOSTLY = 0.5  # the same where the heading itself was not deleted at an edge
+BLOCK = 0.99  # of the closed blocks; no block is taken to be longer than these
+LISTED = 5  # pages in which a word begins lines without an end mark before it can count as one that begins no link
+TITLED = 0.02  # titles begun by such a word, of the lines it begins
+STARTS = 0.9  # shared with neighbours, of the lines without an end mark that a word begins: it begins frame lines
+UNIT = 10_080  # weight of a page, split evenly over its versions
+
 _END = re.compile(r"[.!?。！？…।]['\"”»」)]*$")
 _SEPARATED = re.compile(r"\s*[|·/›]\s*")
 _CRUMBS = re.compile(r"\s+[>›»]\s+")
+_WORD = re.compile(r"[^\W\d_]+")
+_UNSPACED = re.compile(r"[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")  # scripts without blanks
 
 
 def plain(line: str) -> str:
@@ -77,10 +60,6 @@ def plain(line: str) -> str:
     return line.lower() if line.isascii() else "".join(c for c in ud.normalize("NFD", line.lower()) if not ud.combining(c))
 
 
-def _items(spec: str) -> set[str]:
-    return {letters(x) for x in re.split(r"[|\n]", spec) if x.strip()}
-
-
 def remembered(size: int):
     """A cache of results for short lines; long ones are not kept."""
 
@@ -93,8 +72,8 @@ def remembered(size: int):
 
 @remembered(1 << 15)
 def letters(line: str) -> str:
-    """Letters without accents; what lines are compared by."""
-    return "".join(c for c in plain(line) if c.isalpha())
+    """Letters without accents, and the sign of a copyright notice; what lines are compared by."""
+    return "".join(c for c in plain(line) if c.isalpha() or c == "©")
 
 
 @remembered(1 << 15)
@@ -102,124 +81,226 @@ def key_of(line: str) -> int:
     return xxhash.xxh3_64_intdigest(letters(line)) - (1 << 63)
 
 
-_MENU, _SIDEBAR, _WHOLE = _items(MENU), _items(SIDEBAR), _items(WHOLE)
-_CONSENT = re.compile("|".join(re.escape(plain(x.strip())) for x in re.split(r"[|\n]", CONSENT) if x.strip()))
-_PATTERN = re.compile("(?:" + "|".join(PATTERNS) + r")\.?")
-_CRUMB = re.compile(CRUMB)
-_WHOLE.discard("")
-
-
-@remembered(1 << 16)
-def line_class(line: str) -> str:
-    """'s' sidebar heading, 'm' menu item, 'f' other frame, '' none; by the line alone."""
-    p = plain(line).strip()
-    k = letters(line)
-    if k in _SIDEBAR:
-        return "s"
-    if k in _WHOLE or _PATTERN.fullmatch(p) or _CONSENT.match(p):
-        return "f"
-    if k in _MENU and len(p) < 40:
-        return "m"
-    if _CRUMB.match(p):
-        parts = _CRUMBS.split(p)
-        return "f" if len(parts) > 1 or letters(p.replace("you are here:", "").strip("» ")) in _MENU or len(p) < 60 else ""
-    parts = _SEPARATED.split(p)
-    if len(parts) >= 2 and not _END.search(p) and all(0 < len(x.split()) <= 8 and len(x) <= 40 for x in parts):
-        known = sum(letters(x) in _MENU or letters(x) in _WHOLE for x in parts)
-        if len(parts) >= 3 and ("|" in p or "·" in p or known >= 2) or ("|" in p or "·" in p) or known == len(parts):
-            return "f"
-    return ""
-
-
-def _short(line: str) -> bool:
-    return not _END.search(line) and len(line) <= 60 and len(line.split()) <= 7
-
-
-def frame_flags(lines: list[str], shared: set[int], title: int | None = 0) -> list[bool]:
-    """Which lines belong to the frame. ``shared`` holds the keys of lines that most nearest pages have too."""
-    n = len(lines)
-    kinds = [line_class(x) for x in lines]
-    flags = [k in ("f", "s") for k in kinds]
-    head = letters(lines[title]) if title is not None and n else None
-    # navigation items: in a run of such lines, or shared with the nearest pages
-    i = 0
-    while i < n:
-        if kinds[i] == "m":
-            j = i
-            while j < n and (kinds[j] == "m" or (j - i > 1 and shared and key_of(lines[j]) in shared and _short(lines[j]) and kinds[j] == "")):
-                j += 1
-            for k in range(i, j):
-                flags[k] = True
-            i = j
+@remembered(1 << 15)
+def start_of(line: str) -> int:
+    """Hash of a line's first word or copyright sign, of its first two characters where words are not told apart by blanks; 0 without one."""
+    m = _WORD.search(plain(line))
+    if m is None:
+        return 0
+    word = "©" if line.lstrip()[:1] == "©" else m[0][:2] if _UNSPACED.match(m[0]) else m[0]
+    return xxhash.xxh3_64_intdigest("^" + word) - (1 << 63)
+
+
+@dataclass
+class Lines:
+    """A text's lines as they are compared; ``kinds`` has one letter per line.
+
+    T the title, t the title again, n no letters, c a breadcrumb that ends in the
+    title, s a sentence, o any other.
+    """
+
+    keys: list[int]
+    kinds: str
+    starts: list[int]
+
+
+def lines_of(lines: list[str], titles: set[int] | None = None) -> Lines:
+    """``titles`` for pieces of a page: the keys of its titles; else the first line is the title."""
+    whole = titles is None
+    titles = {key_of(lines[0])} if whole else titles
+    if whole and not letters(lines[0]):
+        titles = set()
+    kinds = []
+    for i, x in enumerate(lines):
+        if whole and i == 0:
+            kinds.append("T")
+        elif not letters(x):
+            kinds.append("n")
+        elif key_of(x) in titles:
+            kinds.append("t")
+        elif len(parts := _CRUMBS.split(x.strip())) > 1 and letters(parts[-1]) and key_of(parts[-1]) in titles:
+            kinds.append("c")
         else:
-            i += 1
-    if shared:
-        _delete_shared(lines, kinds, flags, head, shared)
-    # links below a sidebar heading
-    for i in range(n):
-        if kinds[i] == "s":
-            j = i + 1
-            while j < n and j - i <= 4 and kinds[j] == "" and _link(lines[j]) and not (j - i > 2 and letters(lines[j]) == head):
-                flags[j] = True
-                j += 1
-    if title is not None and n:
-        flags[title] = False
-    return flags
+            kinds.append("s" if _END.search(x) else "o")
+    return Lines([key_of(x) for x in lines], "".join(kinds), [start_of(x) if k in "To" else 0 for x, k in zip(lines, kinds)])
+
+
+def votes_of(p: Lines, shared: set[int]) -> list[bool]:
+    return [k in "cos" and x in shared for k, x in zip(p.kinds, p.keys)]
+
+
+@dataclass
+class Learned:
+    """What was learned about the lines of one text."""
+
+    known: set[int]  # frame lines
+    heads: set[int]  # of these, headings of link blocks
+    listed: set[int]  # first words that begin list items rather than links
+    starts: set[int]  # first words that begin frame lines
+    longest: int  # of a link block
 
 
-def _delete_shared(lines: list[str], kinds: list[str], flags: list[bool], head: str | None, shared: set[int]) -> None:
-    """Flags the lines shared with the nearest pages that the check does not keep; the word lists are not needed for it.
+NOTHING = Learned(set(), set(), set(), set(), 0)
 
-    Kept are the title; headings and items that stand free within the body (no run of
-    lines joins them to the page's edge or to other frame lines); and sentences, unless
-    the frame or the title is right before and shared buttons are right after them (a
-    consent text). Where the whole body is shared, the pages are copies of each other,
-    and only short lines beside listed ones go.
+
+def deleted(p: Lines, votes: list[bool], learned: Learned = NOTHING) -> list[bool]:
+    """The lines that go: breadcrumbs, learned ones, and runs of shared lines at an edge of the page or beside such lines.
+
+    Sentences at that side of a run that faces the body stay. A page all of whose own
+    sentences are shared is a copy of its neighbours and is judged by what was learned only.
+    In a page that no neighbour shares lines with, first words tell frame lines, too, and lines without an end mark between two lines
+    that go are deleted with them, if a sentence stands elsewhere.
     """
-    n = len(lines)
-    first = 0 if head is None else 1
-    votes = [i >= first and letters(lines[i]) not in ("", head) and key_of(lines[i]) in shared for i in range(n)]
-    sentence = [bool(_END.search(x)) for x in lines]
-
-    def joined(found: list[bool], edge: bool) -> list[bool]:
-        for order in (range(first, n), range(n - 1, first - 1, -1)):
-            near = edge or order.step < 0
-            for i in order:
-                near = found[i] = found[i] or (near and votes[i] and kinds[i] == "" and not sentence[i] and (edge or _short(lines[i])))
-        return found
-
-    found = list(flags)
-    for i in range(first, n):
-        if kinds[i] == "" and head and len(parts := _CRUMBS.split(plain(lines[i]).strip())) > 1 and letters(parts[-1]) == head:
-            found[i] = True  # a breadcrumb ends in the page's title
-    found = joined(found, True)
+    n = len(votes)
+    first = 1 if p.kinds[:1] == "T" else 0
+    alone = not any(votes)
+    flags = [k == "c" or (k in "os" and x in learned.known) or (alone and k == "o" and s in learned.starts) for k, x, s in zip(p.kinds, p.keys, p.starts)]
+    if not any(k == "s" and not v and not f for k, v, f in zip(p.kinds, votes, flags)):
+        return flags
+    if alone:
+        return _enclosed(p, flags, first)
     i = first
     while i < n:
+        if not (votes[i] or flags[i]):
+            i += 1
+            continue
         j = i
-        while j < n and votes[j] and not found[j]:
+        while j < n and (votes[j] or flags[j]):
+            j += 1
+        lo, hi = i, j
+        if i > first and j < n:
+            sure = [m for m in range(i, j) if flags[m]]
+            lo, hi = (sure[0], sure[-1] + 1) if sure else (j, j)
+            while lo < hi and lo > i and p.kinds[lo - 1] != "s":
+                lo -= 1
+            while lo < hi < j and p.kinds[hi] != "s":
+                hi += 1
+        elif i == first:
+            while hi > lo and p.kinds[hi - 1] == "s" and not flags[hi - 1]:
+                hi -= 1
+        else:
+            while lo < hi and p.kinds[lo] == "s" and not flags[lo]:
+                lo += 1
+        flags[lo:hi] = [True] * (hi - lo)
+        i = j
+    return flags
+
+
+def _enclosed(p: Lines, flags: list[bool], first: int) -> list[bool]:
+    out = list(flags)
+    last = None  # the line before the run
+    for i in range(first, len(flags)):
+        if flags[i]:
+            if last is not None and last < i - 1:
+                out[last + 1 : i] = [True] * (i - last - 1)
+            last = i
+        elif p.kinds[i] != "o":
+            last = None
+    return out
+
+
+def with_links(p: Lines, flags: list[bool], learned: Learned) -> list[bool]:
+    """Adds the links below the headings of link blocks."""
+    out = list(flags)
+    n = len(flags)
+    for i in range(n):
+        if flags[i] and p.keys[i] in learned.heads:
+            j = i + 1
+            while j < n and j - i <= learned.longest and p.kinds[j] == "o" and not flags[j] and p.starts[j] not in learned.listed:
+                out[j] = True
+                j += 1
+    return out
+
+
+COUNTS = "key bigint, len int, pres bigint, loc bigint, vote bigint, link bigint, closed bigint"
+_ZERO = (0, 0, 0, 0, 0)
+
+
+def _count_page(p: Lines, shared: set[int], w: int, out: dict[tuple[int, int], list[int]]) -> None:
+    """Adds one page's lines: with ``len`` -1 the counts of a line's key, -3 of a sentence's, -2 those of a first word (closed: titles), else closed blocks of that length."""
+    votes = votes_of(p, shared)
+    flags = deleted(p, votes)
+    n = len(votes)
+    for i in range(n):
+        k = p.kinds[i]
+        if k in "To" and p.starts[i]:
+            c = out[p.starts[i], -2]
+            if k == "T":
+                c[4] += w
+            else:
+                c[0] += w
+                c[1] += w * flags[i]
+                c[2] += w * (votes[i] or flags[i])
+        if k not in "os":
+            continue
+        c = out[p.keys[i], -3 if k == "s" else -1]
+        c[0] += w
+        c[1] += w * flags[i]
+        c[2] += w * (votes[i] or flags[i])
+        j = i + 1
+        while k == "o" and j < n and p.kinds[j] == "o" and not votes[j] and not flags[j]:
             j += 1
-        # a text and its buttons: several, in one line or more; a single prompt also stands within bodies
-        if i < j and (i == first or found[i - 1]) and sentence[j - 1]:
-            found[i:j] = [_buttons(lines[j : j + 2 if all(votes[j : j + 2]) else j + 1] if j < n and votes[j] else [])] * (j - i)
-        elif i < j and (i == first or found[i - 1]):
-            last = max((k for k in range(i, j) if sentence[k]), default=i)
-            if _buttons(lines[last + 1 : j][:2]):
-                found[i:j] = [not sentence[k] or k <= last for k in range(i, j)]
-        i = max(j, i + 1)
-    if all(found[i] or votes[i] or not lines[i].strip() or letters(lines[i]) == head for i in range(first, n)):
-        found = joined(list(flags), False)
-    flags[:] = found
+        if j > i + 1 and (votes[i] or flags[i]):
+            c[3] += w
+            if j == n or votes[j] or flags[j]:
+                c[4] += w
+                out[p.keys[i], j - i - 1][4] += w
+
 
+def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out: dict[tuple[int, int], list[int]] = defaultdict(lambda: list(_ZERO))
 
-def _buttons(lines: list[str]) -> bool:
-    """Two lines that may be buttons, or one line of several."""
-    parts = _SEPARATED.split(lines[0]) if lines else []
-    return (len(lines) == 2 and all(_short(x) and line_class(x) != "s" and len(x.split()) <= 3 for x in lines)) or (len(parts) > 1 and any(letters(x) not in _MENU for x in parts) and _short(lines[0]))
+    def drain() -> pd.DataFrame:
+        rows = [(*k, *v) for k, v in out.items()]
+        out.clear()
+        return pd.DataFrame(rows, columns=["key", "len", "pres", "loc", "vote", "link", "closed"])
+
+    for f in frames:
+        for keys, kinds, starts, shared, w in zip(f["line_keys"], f["kinds"], f["starts"], f["keys"], f["weight"]):
+            _count_page(Lines(keys.tolist(), kinds, starts.tolist()), set(shared.tolist()), int(w), out)
+        if len(out) > 200_000:
+            yield drain()
+    yield drain()
 
 
-def _link(line: str) -> bool:
-    """May be a link's text: no sentence, no sum of money, not a bare article with a thing."""
-    return not _END.search(line) and "$" not in line and len(line) <= 90 and not re.match(r"(an?|una?|une) ", line)
+def learn(texts: DataFrame, shared: DataFrame) -> tuple[DataFrame, int]:
+    """(key, kind) of lines and first words - k frame line, h heading of a link block, f beginning of frame lines, l of list items - and the longest link block.
+
+    Counted over all texts that have neighbours; a page's versions weigh as one page.
+    """
+    counts = texts.select("page", "line_keys", "kinds", "starts").join(shared, "page").select("line_keys", "kinds", "starts", "keys", "weight").mapInPandas(_count, COUNTS)
+    names = ["pres", "loc", "vote", "link", "closed"]
+    sums = counts.groupBy("key", "len").agg(*[F.sum(c).alias(c) for c in names])
+    n, loc, vote = F.col("pres"), F.col("loc"), F.col("vote")
+    word = F.col("len") == -2
+    rows = F.col("len")
+    heading = (rows == -1) & (F.col("link") >= vote * LINKS) & (F.col("link") >= 2 * UNIT)
+    closing = heading & (vote >= n * SHARED) & (F.col("closed") >= F.col("link") * CLOSED_MOSTLY)
+    # what no neighbour shares can't be learned, and words that begin few lines say nothing
+    sums = durable(sums.filter((rows >= 0) | (~word & ((loc >= UNIT / 2) | closing)) | (word & (n >= LISTED * UNIT))))
+    enough = loc >= vote * F.when(rows == -3, DELETED_SENTENCE).when(vote >= n * SHARED, DELETED).otherwise(DELETED_RARE)
+    line = sums.filter(rows.isin(-1, -3) & (closing | ((loc >= UNIT / 2) & enough & (vote >= n * F.when(rows == -3, SHARED).otherwise(SHARED_RARE)))))
+    head = heading & (F.col("closed") >= F.col("link") * CLOSED)
+    lines = line.groupBy("key").agg(F.max(head).alias("head")).select("key", F.when(F.col("head"), "h").otherwise("k").alias("kind"))
+    begun = F.when((vote >= n * STARTS) & (loc >= vote * DELETED), "f").when((F.col("closed") < n * TITLED) & (vote < n * SHARED_RARE), "l")
+    words = sums.filter(word).select("key", begun.alias("kind")).filter(F.col("kind").isNotNull())
+    blocks = sums.filter(F.col("len") >= 0).join(lines.filter("kind = 'h'").select("key"), "key", "left_semi")
+    # one row per length of a block; lengths over 1,000 are one class
+    by = blocks.groupBy(F.least("len", F.lit(1_000)).alias("len")).agg(F.sum("closed").alias("n")).orderBy("len").collect()
+    total, seen, longest = sum(r["n"] for r in by), 0, 0
+    for r in by:
+        longest, seen = r["len"], seen + r["n"]
+        if seen >= total * BLOCK:
+            break
+    return lines.unionByName(words), longest
+
+
+def _learned(found: np.ndarray | None, longest: int) -> Learned:
+    """The learned rows of one text."""
+    by: dict[str, set[int]] = defaultdict(set)
+    for x in () if found is None else found:
+        by[x["kind"]].add(int(x["key"]))
+    return Learned(by["k"] | by["h"], by["h"], by["l"], by["f"], longest)
 
 
 def path_of(url: Column) -> Column:
@@ -244,33 +325,63 @@ def _edges(pages: DataFrame) -> DataFrame:
     return both.filter(F.col("b").isNotNull())
 
 
-def lcs_keys(a: list[int], b: list[int]) -> list[int]:
-    """Keys on a longest common subsequence of two key lists."""
+def lcs_keys(a: list[int], b: list[int], bits: int = 1 << 28) -> list[int]:
+    """Keys on a longest common subsequence of two key lists.
+
+    Bit-parallel: one row of bits per line of ``a``. Where the rows would take more
+    than ``bits``, ``a`` is halved and ``b`` cut where both halves share most, so memory
+    stays bounded for pages of any length.
+    """
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
-    out = a[:lo]
-    a, b = a[lo:], b[lo:]
+    hi = 0
+    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    front, back = a[:lo], a[len(a) - hi :]
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
     both = set(a) & set(b)
     a, b = [x for x in a if x in both], [x for x in b if x in both]
     if not a or not b:
-        return out
-    bb = np.array(b, dtype=np.int64)
-    rows = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i, x in enumerate(a):
-        best = np.where(bb == x, rows[i, :-1] + 1, rows[i, 1:])
-        rows[i + 1, 1:] = np.maximum.accumulate(best)
+        return front + back
+    if len(a) > 1 and len(a) * len(b) > bits:
+        mid = len(a) // 2
+        cut = int((_lengths(a[:mid], b) + _lengths(a[:mid - 1 : -1], b[::-1])[::-1]).argmax())
+        return front + lcs_keys(a[:mid], b[:cut], bits) + lcs_keys(a[mid:], b[cut:], bits) + back
+    rows = _rows(a, b, True)
     i, j = len(a), len(b)
-    tail = []
+    found = []
     while i and j:
-        if rows[i, j] == rows[i - 1, j]:
-            i -= 1
-        elif rows[i, j] == rows[i, j - 1]:
+        if rows[i - 1] >> (j - 1) & 1:
             j -= 1
         else:
-            tail.append(a[i - 1])
-            i, j = i - 1, j - 1
-    return out + tail[::-1]
+            i -= 1
+            if not (i and not rows[i - 1] >> (j - 1) & 1):
+                j -= 1
+                found.append(a[i])
+    return front + found[::-1] + back
+
+
+def _rows(a: list[int], b: list[int], every: bool) -> list[int]:
+    """After each line of ``a`` (or the last only) the bits of ``b``; the zeros below a place count the longest subsequence up to there."""
+    at: dict[int, int] = defaultdict(int)
+    for j, x in enumerate(b):
+        at[x] |= 1 << j
+    full = (1 << len(b)) - 1
+    v, rows = full, []
+    for x in a:
+        u = v & at.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        if every:
+            rows.append(v)
+    return rows or [v]
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with each beginning of ``b``."""
+    v = _rows(a, b, False)[0]
+    bits = np.unpackbits(np.frombuffer(v.to_bytes((len(b) + 7) // 8, "little"), np.uint8), count=len(b), bitorder="little")
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
 
 
 def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,7 +416,7 @@ def _nearest_texts(edges: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def shared_keys(texts: DataFrame) -> DataFrame:
-    """(page, keys): for each text the keys of the lines most of its nearest pages have too.
+    """(page, keys, weight): for each text the keys of the lines most of its nearest pages have too, and its share of its page.
 
     ``texts``: page (the text's number), site, path, at, line_keys. Every text of a page is
     aligned, with the texts of the neighbours nearest in time. Texts alone on their
@@ -318,15 +429,22 @@ def shared_keys(texts: DataFrame) -> DataFrame:
     lower = F.col("page") < F.col("other")
     pairs = wanted.groupBy(F.least("page", "other").alias("a"), F.greatest("page", "other").alias("b")).agg(F.bool_or(lower).alias("for_a"), F.bool_or(~lower).alias("for_b"))
     pairs = durable(pairs).join(texts.select(F.col("page").alias("a"), F.col("line_keys").alias("ka")), "a").join(texts.select(F.col("page").alias("b"), F.col("line_keys").alias("kb")), "b")
-    votes = pairs.select("a", "b", "ka", "kb", "for_a", "for_b").mapInPandas(_shared, "page bigint, key bigint").groupBy("page", "key").agg(F.count(F.lit(1)).alias("n"))
+    votes = durable(pairs.select("a", "b", "ka", "kb", "for_a", "for_b").mapInPandas(_shared, "page bigint, key bigint").groupBy("page", "key").agg(F.count(F.lit(1)).alias("n")))
     ballots = votes.filter(F.col("key") == 0).select("page", F.col("n").alias("of"))
     kept = votes.filter(F.col("key") != 0).join(ballots, "page").filter(F.col("n") >= F.col("of") * VOTES)
-    return kept.groupBy("page").agg(F.collect_list("key").alias("keys"))
+    keys = kept.groupBy("page").agg(F.collect_list("key").alias("keys"))
+    versions = numbered.groupBy("number").agg(F.greatest(F.lit(1), F.floor(F.lit(UNIT) / F.count(F.lit(1)))).cast("bigint").alias("weight"))
+    return numbered.join(versions, "number").select("page", "weight").join(keys, "page")
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Broadcast where the row count is within bounds; joined by shuffle beyond."""
-    return F.broadcast(df) if df.count() <= BROADCAST_PAGES else df
+    """Rows of fixed width: broadcast while their number is within BROADCAST_ROWS, joined by shuffle beyond."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _page_hash() -> list[Column]:
+    """Two 64-bit hashes of a page's site and path: fixed width for what may be broadcast."""
+    return [F.xxhash64(F.lit(x), "site", "path").alias(n) for x, n in (("a", "p1"), ("b", "p2"))]
 
 
 def prepared(df: DataFrame) -> DataFrame:
@@ -339,15 +457,22 @@ def prepared(df: DataFrame) -> DataFrame:
     kept = kept.withColumn("site", F.coalesce(site_of(F.col("url")), F.lit(""))).withColumn("path", F.coalesce(path_of(F.col("url")), F.lit(""))).withColumn("query", query_of(F.col("url"))).drop("url")
     titles = kept.groupBy("site", "path", "query").agg(*[f(F.xxhash64(F.substring_index("normalized_text", "\n", 1))).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))])
     apart = titles.groupBy("site", "path").agg(F.bool_and(F.col("lo") == F.col("hi")).alias("one"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(F.col("one") & (F.col("lo") != F.col("hi")))
-    kept = kept.join(_small(apart.select("site", "path", F.lit(True).alias("apart"))), ["site", "path"], "left")
+    kept = kept.select("*", *_page_hash()).join(_small(apart.select(*_page_hash(), F.lit(True).alias("apart"))), ["p1", "p2"], "left").drop("p1", "p2")
     return kept.withColumn("path", F.when(F.col("apart") & (F.col("query") != ""), F.concat("path", F.lit("?"), "query")).otherwise(F.col("path"))).drop("apart", "query")
 
 
-def coded_texts(df: DataFrame, text: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(snapshot_id, page) of every snapshot, and for each distinct text of a page: page, site, path, codes, and line_keys, or ``form`` with ``text``.
+@dataclass
+class Coded:
+    """What :func:`coded_texts` gives."""
 
-    ``page`` is the smallest snapshot_id that has the text. ``df`` as in :func:`with_flags`.
-    """
+    rows: DataFrame  # snapshot_id, page: the page's number is the smallest snapshot_id that has the text
+    texts: DataFrame  # page, site, path, codes, line_keys - or form, for coded with ``text``
+    model: DataFrame  # key, kind as learned
+    longest: int  # of a link block
+
+
+def coded_texts(df: DataFrame, text: bool = False) -> Coded:
+    """Codes of every distinct text of a page, with what was learned. ``df`` as in :func:`with_flags`."""
     snaps = prepared(df)
     h1, h2 = look_hash(F.col("normalized_text"))
     hashed = snaps.select("snapshot_id", "site", "path", F.coalesce(F.unix_micros(F.col("fetched_at").cast("timestamp")), F.lit(0)).alias("at"), h1.alias("h1"), h2.alias("h2"))
@@ -355,40 +480,55 @@ def coded_texts(df: DataFrame, text: bool = False) -> tuple[DataFrame, DataFrame
     first = durable(hashed.groupBy(*by).agg(F.min("snapshot_id").alias("page"), F.max("at").alias("at")))
     rows = hashed.select("snapshot_id", *by).join(first.select(*by, "page"), by).select("snapshot_id", "page")
     own = snaps.select(F.col("snapshot_id").alias("page"), "normalized_text").join(first.select("page", "site", "path", "at"), "page")
+    names = ["page", "site", "path", "at", *(["form"] if text else [])]
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["line_keys"] = [[key_of(x) for x in t.split("\n")] for t in f["form"]]
-            yield f[["page", "site", "path", "at", "form", "line_keys"]]
+            each = [lines_of(t.split("\n")) for t in f["form"]]
+            f["line_keys"], f["kinds"], f["starts"] = [x.keys for x in each], [x.kinds for x in each], [x.starts for x in each]
+            yield f[[*names, "line_keys", "kinds", "starts"]]
 
     forms = with_canonical(own, "normalized_text", "form").select("page", "site", "path", "at", "form")
-    texts = durable(forms.mapInPandas(keyed, "page bigint, site string, path string, at bigint, form string, line_keys array<bigint>").dropDuplicates(["page"]))
-    joined = texts.join(shared_keys(texts), "page", "left")
+    schema = "page bigint, site string, path string, at bigint, " + ("form string, " if text else "") + "line_keys array<bigint>, kinds string, starts array<bigint>"
+    # texts are hashed line by line once; from here on only keys travel
+    texts = durable(forms.mapInPandas(keyed, schema).dropDuplicates(["page"]))
+    shared = durable(shared_keys(texts))
+    model, longest = learn(texts, shared)
+    model = durable(model)
+    asked = texts.select("page", F.explode(F.array_distinct(F.concat("line_keys", "starts"))).alias("key"))
+    found = asked.join(_small(model), "key").groupBy("page").agg(F.collect_list(F.struct("key", "kind")).alias("found"))
+    joined = texts.join(shared.select("page", "keys"), "page", "left").join(found, "page", "left")
     last = "form" if text else "line_keys"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["codes"] = [codes_of(t, k) for t, k in zip(f["form"], f["keys"])]
+            codes = []
+            for keys, kinds, starts, shared, found in zip(f["line_keys"], f["kinds"], f["starts"], f["keys"], f["found"]):
+                codes.append(codes_of(Lines(keys.tolist(), kinds, starts.tolist()), set() if shared is None else set(shared.tolist()), _learned(found, longest)))
+            f["codes"] = codes
             yield f[["page", "site", "path", "codes", last]]
 
-    return rows, joined.select("page", "site", "path", "form", *([] if text else ["line_keys"]), "keys").mapInPandas(run, f"page bigint, site string, path string, codes string, {'form string' if text else 'line_keys array<bigint>'}")
+    picked = joined.select("page", "site", "path", *(["form"] if text else []), "line_keys", "kinds", "starts", "keys", "found")
+    return Coded(rows, picked.mapInPandas(run, f"page bigint, site string, path string, codes string, {'form string' if text else 'line_keys array<bigint>'}"), model, longest)
+
+
+def codes_of(p: Lines, shared: set[int], learned: Learned = NOTHING) -> str:
+    flags = with_links(p, deleted(p, votes_of(p, shared), learned), learned)
+    return "T" + "".join("F" if x else "B" for x in flags[1:])
 
 
-def with_flags(df: DataFrame, text: bool = False) -> DataFrame:
-    """snapshot_id, site, path, codes - one letter per line, T the title, F frame, B body - and line_keys, or ``form`` with ``text``.
+def with_flags(df: DataFrame) -> DataFrame:
+    """snapshot_id, site, path, codes - one letter per line, T the title, F frame, B body - and line_keys.
 
     ``df``: snapshot_id, url, fetched_at, normalized_text; other columns are not
     read. An empty text is one empty title line. A null url is a page without
     neighbours. Repeated rows are each coded. ``path`` has the query where it tells pages apart.
     """
-    rows, coded = coded_texts(df, text)
-    return rows.join(coded, "page").select("snapshot_id", "site", "path", "codes", "form" if text else "line_keys")
+    return flagged(coded_texts(df))
 
 
-def codes_of(text: str, keys: np.ndarray | None) -> str:
-    lines = text.split("\n")
-    flags = frame_flags(lines, set() if keys is None else set(map(int, keys)))
-    return "T" + "".join("F" if x else "B" for x in flags[1:])
+def flagged(coded: Coded) -> DataFrame:
+    return coded.rows.join(coded.texts, "page").select("snapshot_id", "site", "path", "codes", "line_keys")
 
 
 def frame_lines(coded: DataFrame, doc: str) -> DataFrame:
@@ -397,21 +537,31 @@ def frame_lines(coded: DataFrame, doc: str) -> DataFrame:
     return each.filter(F.col("code") == "F").select(doc, (F.col("pos") + 1).cast("int").alias("line_no"))
 
 
-def diff_frame_lines(changes: DataFrame, coded: DataFrame) -> DataFrame:
+def diff_frame_lines(changes: DataFrame, coded: Coded, flags: DataFrame) -> DataFrame:
     """(change_id, line_no) of the frame lines inside unified diffs.
 
-    ``changes``: change_id, url, diff_excerpt. A line's mark does not count. A line is
-    frame by itself, by its neighbours in the diff, or when the snapshots of the
-    same page have it in their frame and never in their body. '@@' lines and null
-    diffs give no rows.
+    ``changes``: change_id, url, diff_excerpt; ``flags``: rows of :func:`flagged`. A line's mark does not count. A line is
+    frame when the snapshots of the same page have it in their frame and never in
+    their body, when it is a frame line everywhere, or as a link below a heading of such in its hunk.
+    '@@' lines and null diffs give no rows.
     """
+    longest = coded.longest
+
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            each = [[x[1:] if x[:1] in "+- " else x for x in t.split("\n")] for t in f["form"]]
+            f["asked"] = [list({y for x in lines for y in (key_of(x), start_of(x))}) for lines in each]
+            yield f
 
     def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             ids, nos = [], []
-            for c, text, keys in zip(f["change_id"], f["form"], f["keys"]):
-                own = set() if keys is None else set(map(int, keys))
-                for no in diff_flags(text, own):
+            for c, text, own, titles, learned in zip(f["change_id"], f["form"], f["own"], f["titles"], f["found"]):
+                here = _learned(learned, longest)
+                if own is not None:  # the page's own snapshots say more than first words
+                    here.known |= set(own.tolist())
+                    here.starts = set()
+                for no in diff_flags(text, here, set() if titles is None else set(titles.tolist())):
                     ids.append(c)
                     nos.append(no)
             yield pd.DataFrame({"change_id": pd.Series(ids, dtype="object"), "line_no": pd.Series(nos, dtype="int32")})
@@ -419,27 +569,33 @@ def diff_frame_lines(changes: DataFrame, coded: DataFrame) -> DataFrame:
     diffs = changes.select("change_id", "url", "diff_excerpt").filter(F.col("change_id").isNotNull() & F.col("diff_excerpt").isNotNull()).distinct()
     diffs = diffs.withColumn("site", F.coalesce(site_of(F.col("url")), F.lit(""))).withColumn("path", F.coalesce(path_of(F.col("url")), F.lit("")))
     diffs = diffs.withColumn("full", F.concat("path", F.lit("?"), query_of(F.col("url"))))
-    diffs = with_canonical(diffs, "diff_excerpt", "form").select("change_id", "site", "path", "full", "form")
-    wanted = diffs.select("site", "path").unionByName(diffs.select("site", F.col("full").alias("path"))).distinct()
-    seen = coded.join(_small(wanted), ["site", "path"], "left_semi").select("site", "path", F.explode(F.arrays_zip("line_keys", F.split("codes", "").alias("code"))).alias("x"))
-    lines = seen.groupBy("site", "path", F.col("x.line_keys").alias("key")).agg(F.bool_and(F.col("x.code") == "F").alias("frame"))
-    keys = lines.filter("frame").groupBy("site", "path").agg(F.collect_list("key").alias("keys"))
+    diffs = with_canonical(diffs, "diff_excerpt", "form").select("change_id", "site", "path", "full", "form", F.monotonically_increasing_id().alias("no"))
+    diffs = durable(diffs.mapInPandas(keyed, "change_id string, site string, path string, full string, form string, no bigint, asked array<bigint>"))
+    wanted = diffs.select("site", "path").unionByName(diffs.select("site", F.col("full").alias("path"))).select(*_page_hash()).distinct()
+    near = flags.select("*", *_page_hash()).join(_small(wanted), ["p1", "p2"], "left_semi")
+    seen = near.select("p1", "p2", F.explode(F.arrays_zip("line_keys", F.split("codes", "").alias("code"))).alias("x"))
+    lines = seen.groupBy("p1", "p2", F.col("x.line_keys").alias("key")).agg(F.bool_and(F.col("x.code") == "F").alias("frame"), F.bool_or(F.col("x.code") == "T").alias("title"))
+    pages = lines.groupBy("p1", "p2").agg(F.collect_list(F.when(F.col("frame"), F.col("key"))).alias("own"), F.collect_list(F.when(F.col("title"), F.col("key"))).alias("titles"))
     # a page that its query tells apart is known by its full path
-    exact = lines.groupBy("site", F.col("path").alias("full")).agg(F.collect_list(F.when(F.col("frame"), F.col("key"))).alias("exact"))
-    known = diffs.join(keys, ["site", "path"], "left").join(exact, ["site", "full"], "left").select("change_id", "form", F.coalesce("exact", "keys").alias("keys"))
-    return known.mapInPandas(found, "change_id string, line_no int").distinct()
+    exact = pages.select("p1", "p2", F.struct("own", "titles").alias("exact"))
+    for_full = [F.xxhash64(F.lit(x), "site", "full").alias(n) for x, n in (("a", "p1"), ("b", "p2"))]
+    of_path = diffs.select("no", *_page_hash()).join(pages.select("p1", "p2", F.struct("own", "titles").alias("near")), ["p1", "p2"]).select("no", "near")
+    of_full = diffs.select("no", *for_full).join(exact, ["p1", "p2"]).select("no", "exact")
+    learned = diffs.select("no", F.explode("asked").alias("key")).join(_small(coded.model), "key").groupBy("no").agg(F.collect_list(F.struct("key", "kind")).alias("found"))
+    known = diffs.select("no", "change_id", "form").join(of_path, "no", "left").join(of_full, "no", "left").join(learned, "no", "left")
+    best = F.coalesce("exact", "near")
+    return known.select("change_id", "form", best["own"].alias("own"), best["titles"].alias("titles"), "found").mapInPandas(found, "change_id string, line_no int").distinct()
 
 
-def diff_flags(text: str, known: set[int]) -> list[int]:
+def diff_flags(text: str, learned: Learned, titles: set[int]) -> list[int]:
     """Numbers, from 1, of the frame lines of one diff."""
     out = []
     hunk: list[tuple[int, str]] = []
 
     def close() -> None:
-        lines = [x for _, x in hunk]
-        for (no, line), flag in zip(hunk, frame_flags(lines, set(), None)):
-            if flag or (line and key_of(line) in known and letters(line)):
-                out.append(no)
+        p = lines_of([x for _, x in hunk], titles)
+        flags = with_links(p, deleted(p, [False] * len(hunk), learned), learned)
+        out.extend(no for (no, _), flag in zip(hunk, flags) if flag)
         hunk.clear()
 
     for no, line in enumerate(text.split("\n"), 1):

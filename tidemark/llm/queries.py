@@ -50,10 +50,6 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "snapshots", "snapshot_id", "url", "fetched_at", "normalized_text"))
 
 
-def _coded(spark: SparkSession, d: str) -> DataFrame:
-    return durable(frames.with_flags(_pages(spark, d)))
-
-
 def p4_evidence(spark: SparkSession, d: str) -> DataFrame:
     """What speaks for and against each snapshot being residue."""
     return residue.residue_evidence(_pages(spark, d))
@@ -72,17 +68,18 @@ def p4_kept(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Frame lines of snapshots and of changes."""
-    coded = _coded(spark, d)
+    coded = frames.coded_texts(_pages(spark, d))
+    flags = durable(frames.flagged(coded))
     changes = table(spark, d, "changes", "change_id", "url", "diff_excerpt")
-    snaps = frames.frame_lines(coded, "snapshot_id").select(F.lit("snapshots").alias("rec_table"), F.col("snapshot_id").cast("string").alias("rec_key"), "line_no")
-    diffs = frames.diff_frame_lines(changes, coded).select(F.lit("changes").alias("rec_table"), F.col("change_id").alias("rec_key"), "line_no")
+    snaps = frames.frame_lines(flags, "snapshot_id").select(F.lit("snapshots").alias("rec_table"), F.col("snapshot_id").cast("string").alias("rec_key"), "line_no")
+    diffs = frames.diff_frame_lines(changes, coded, flags).select(F.lit("changes").alias("rec_table"), F.col("change_id").alias("rec_key"), "line_no")
     return snaps.unionByName(diffs).distinct()
 
 
 def p6_main_text(spark: SparkSession, d: str) -> DataFrame:
     """Every snapshot's text with only the title and the main body kept."""
     s = table(spark, d, "snapshots", "snapshot_id", "normalized_text")
-    lines = frames.frame_lines(_coded(spark, d), "snapshot_id")
+    lines = frames.frame_lines(frames.with_flags(_pages(spark, d)), "snapshot_id")
     return sites.without_lines(s, "snapshot_id", "normalized_text", lines, "main_text").select("snapshot_id", "main_text")
 
 

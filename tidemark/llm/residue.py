@@ -170,8 +170,8 @@ def residue_evidence(snaps: DataFrame) -> DataFrame:
     title, recurs on at least LEARN_PAGES other addresses and is far shorter than
     its host's pages. Pages without body and with a normal title are none.
     """
-    pages, coded = coded_texts(snaps, text=True)
-    judged = durable(pages.join(_judge(coded, filler_vocabulary(snaps, "normalized_text")), "page").drop("page"))
+    coded = coded_texts(snaps, text=True)
+    judged = durable(coded.rows.join(_judge(coded.texts, filler_vocabulary(snaps, "normalized_text")), "page").drop("page"))
     # a short body's other lines, and how often each stands among residue
     odd = judged.filter(F.size("odd") > 0).select("snapshot_id", "path", (F.col("n_bad") >= F.size("odd")).alias("mostly"), F.explode("odd").alias("line"))
     lines = odd.groupBy("line").agg(F.avg(F.col("mostly").cast("int")).alias("share"), F.approx_count_distinct("path").alias("paths"))

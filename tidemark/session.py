@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(cpus: int | str = "*", app: str = "tidemark", **conf: str) -> SparkSession:
@@ -52,6 +53,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 1_000_000  # rows of fixed width up to which a side is broadcast; 16 MB at 16 bytes a row
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """Rows of fixed width: broadcast while their number is within BROADCAST_ROWS, joined by shuffle beyond."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """More partitions before work that is heavy per row, where the scan gives fewer than there are cores.
 

@@ -28,11 +28,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.looks import look_hash, with_canonical
 from tidemark.llm.sites import site_of
 from tidemark.plans.ordered import previous_row, range_blocks, running_max
-from tidemark.session import durable
+from tidemark.session import bounded, durable
 
 WEEK = 7 * 86_400 * 1_000_000  # microseconds; block of time
 VOTES = 0.6  # share of the paired pages that must share a line
-BROADCAST_ROWS = 1_000_000  # rows of fixed width (at most 16 bytes each) up to which a side is broadcast
 # What makes a line a frame line everywhere, as shares of the pages that hold it; a page's versions count as one page.
 DELETED = 0.05  # deleted at a page's edge, of the pages where neighbours share it
 DELETED_SENTENCE = 0.4  # the same for a sentence, which also stands in bodies
@@ -45,6 +44,7 @@ CLOSED_MOSTLY = 0.5  # the same where the heading itself was not deleted at an e
 BLOCK = 0.99  # of the closed blocks; no block is taken to be longer than these
 LISTED = 5  # pages in which a word begins lines without an end mark before it can count as one that begins no link
 TITLED = 0.02  # titles begun by such a word, of the lines it begins
+CRUMBS = 0.8  # of the lines a word begins that are neither sentences nor shared: breadcrumbs, so it begins breadcrumbs
 STARTS = 0.9  # shared with neighbours, of the lines without an end mark that a word begins: it begins frame lines
 UNIT = 10_080  # weight of a page, split evenly over its versions
 
@@ -52,6 +52,8 @@ _END = re.compile(r"[.!?。！？…।]['\"”»」)]*$")
 _SEPARATED = re.compile(r"\s*[|·/›]\s*")
 _CRUMBS = re.compile(r"\s+[>›»]\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+_LABEL = re.compile(r"[^\W\d_]+(?: [^\W\d_]+){0,3}:(?=\s)")
+_OPENING = "\"'“‘„«¿¡([（「『【《<{"
 _UNSPACED = re.compile(r"[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")  # scripts without blanks
 
 
@@ -83,11 +85,15 @@ def key_of(line: str) -> int:
 
 @remembered(1 << 15)
 def start_of(line: str) -> int:
-    """Hash of a line's first word or copyright sign, of its first two characters where words are not told apart by blanks; 0 without one."""
-    m = _WORD.search(plain(line))
+    """Hash of what a line begins with, 0 without letters: its label up to a colon, a sign, or the first word - two characters where words are not told apart by blanks."""
+    label = _LABEL.match(plain(line))
+    m = label or _WORD.search(plain(line))
     if m is None:
         return 0
-    word = "©" if line.lstrip()[:1] == "©" else m[0][:2] if _UNSPACED.match(m[0]) else m[0]
+    sign = line.lstrip()[:1]
+    word = m[0] if label or not _UNSPACED.match(m[0]) else m[0][:2]
+    if not label and ud.category(sign)[0] in "SP" and sign not in _OPENING:
+        word = sign
     return xxhash.xxh3_64_intdigest("^" + word) - (1 << 63)
 
 
@@ -122,7 +128,7 @@ def lines_of(lines: list[str], titles: set[int] | None = None) -> Lines:
             kinds.append("c")
         else:
             kinds.append("s" if _END.search(x) else "o")
-    return Lines([key_of(x) for x in lines], "".join(kinds), [start_of(x) if k in "To" else 0 for x, k in zip(lines, kinds)])
+    return Lines([key_of(x) for x in lines], "".join(kinds), [start_of(x) if k in "Tco" else 0 for x, k in zip(lines, kinds)])
 
 
 def votes_of(p: Lines, shared: set[int]) -> list[bool]:
@@ -137,10 +143,11 @@ class Learned:
     heads: set[int]  # of these, headings of link blocks
     listed: set[int]  # first words that begin list items rather than links
     starts: set[int]  # first words that begin frame lines
+    crumbs: set[int]  # first words that begin breadcrumbs
     longest: int  # of a link block
 
 
-NOTHING = Learned(set(), set(), set(), set(), 0)
+NOTHING = Learned(set(), set(), set(), set(), set(), 0)
 
 
 def deleted(p: Lines, votes: list[bool], learned: Learned = NOTHING) -> list[bool]:
@@ -154,7 +161,7 @@ def deleted(p: Lines, votes: list[bool], learned: Learned = NOTHING) -> list[boo
     n = len(votes)
     first = 1 if p.kinds[:1] == "T" else 0
     alone = not any(votes)
-    flags = [k == "c" or (k in "os" and x in learned.known) or (alone and k == "o" and s in learned.starts) for k, x, s in zip(p.kinds, p.keys, p.starts)]
+    flags = [k == "c" or (k in "os" and x in learned.known) or (k == "o" and (s in learned.crumbs or (alone and s in learned.starts))) for k, x, s in zip(p.kinds, p.keys, p.starts)]
     if not any(k == "s" and not v and not f for k, v, f in zip(p.kinds, votes, flags)):
         return flags
     if alone:
@@ -217,16 +224,18 @@ _ZERO = (0, 0, 0, 0, 0)
 
 
 def _count_page(p: Lines, shared: set[int], w: int, out: dict[tuple[int, int], list[int]]) -> None:
-    """Adds one page's lines: with ``len`` -1 the counts of a line's key, -3 of a sentence's, -2 those of a first word (closed: titles), else closed blocks of that length."""
+    """Adds one page's lines: with ``len`` -1 the counts of a line's key, -3 of a sentence's, -2 those of a first word (link: breadcrumbs, closed: titles), else closed blocks of that length."""
     votes = votes_of(p, shared)
     flags = deleted(p, votes)
     n = len(votes)
     for i in range(n):
         k = p.kinds[i]
-        if k in "To" and p.starts[i]:
+        if k in "Tco" and p.starts[i]:
             c = out[p.starts[i], -2]
             if k == "T":
                 c[4] += w
+            elif k == "c":
+                c[3] += w
             else:
                 c[0] += w
                 c[1] += w * flags[i]
@@ -264,7 +273,7 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn(texts: DataFrame, shared: DataFrame) -> tuple[DataFrame, int]:
-    """(key, kind) of lines and first words - k frame line, h heading of a link block, f beginning of frame lines, l of list items - and the longest link block.
+    """(key, kind) of lines and first words - k frame line, h heading of a link block, f beginning of frame lines, b of breadcrumbs, l of list items - and the longest link block.
 
     Counted over all texts that have neighbours; a page's versions weigh as one page.
     """
@@ -277,12 +286,13 @@ def learn(texts: DataFrame, shared: DataFrame) -> tuple[DataFrame, int]:
     heading = (rows == -1) & (F.col("link") >= vote * LINKS) & (F.col("link") >= 2 * UNIT)
     closing = heading & (vote >= n * SHARED) & (F.col("closed") >= F.col("link") * CLOSED_MOSTLY)
     # what no neighbour shares can't be learned, and words that begin few lines say nothing
-    sums = durable(sums.filter((rows >= 0) | (~word & ((loc >= UNIT / 2) | closing)) | (word & (n >= LISTED * UNIT))))
+    sums = durable(sums.filter((rows >= 0) | (~word & ((loc >= UNIT / 2) | closing)) | (word & (n + F.col("link") >= LISTED * UNIT))))
     enough = loc >= vote * F.when(rows == -3, DELETED_SENTENCE).when(vote >= n * SHARED, DELETED).otherwise(DELETED_RARE)
     line = sums.filter(rows.isin(-1, -3) & (closing | ((loc >= UNIT / 2) & enough & (vote >= n * F.when(rows == -3, SHARED).otherwise(SHARED_RARE)))))
     head = heading & (F.col("closed") >= F.col("link") * CLOSED)
     lines = line.groupBy("key").agg(F.max(head).alias("head")).select("key", F.when(F.col("head"), "h").otherwise("k").alias("kind"))
-    begun = F.when((vote >= n * STARTS) & (loc >= vote * DELETED), "f").when((F.col("closed") < n * TITLED) & (vote < n * SHARED_RARE), "l")
+    crumbs = F.col("link")
+    begun = F.when((crumbs >= LISTED * UNIT) & (crumbs >= (crumbs + n - vote) * CRUMBS), "b").when((vote >= n * STARTS) & (loc >= vote * DELETED), "f").when((n >= LISTED * UNIT) & (F.col("closed") < n * TITLED) & (vote < n * SHARED_RARE), "l")
     words = sums.filter(word).select("key", begun.alias("kind")).filter(F.col("kind").isNotNull())
     blocks = sums.filter(F.col("len") >= 0).join(lines.filter("kind = 'h'").select("key"), "key", "left_semi")
     # one row per length of a block; lengths over 1,000 are one class
@@ -300,7 +310,7 @@ def _learned(found: np.ndarray | None, longest: int) -> Learned:
     by: dict[str, set[int]] = defaultdict(set)
     for x in () if found is None else found:
         by[x["kind"]].add(int(x["key"]))
-    return Learned(by["k"] | by["h"], by["h"], by["l"], by["f"], longest)
+    return Learned(by["k"] | by["h"], by["h"], by["l"], by["f"], by["b"], longest)
 
 
 def path_of(url: Column) -> Column:
@@ -437,11 +447,6 @@ def shared_keys(texts: DataFrame) -> DataFrame:
     return numbered.join(versions, "number").select("page", "weight").join(keys, "page")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Rows of fixed width: broadcast while their number is within BROADCAST_ROWS, joined by shuffle beyond."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _page_hash() -> list[Column]:
     """Two 64-bit hashes of a page's site and path: fixed width for what may be broadcast."""
     return [F.xxhash64(F.lit(x), "site", "path").alias(n) for x, n in (("a", "p1"), ("b", "p2"))]
@@ -457,7 +462,7 @@ def prepared(df: DataFrame) -> DataFrame:
     kept = kept.withColumn("site", F.coalesce(site_of(F.col("url")), F.lit(""))).withColumn("path", F.coalesce(path_of(F.col("url")), F.lit(""))).withColumn("query", query_of(F.col("url"))).drop("url")
     titles = kept.groupBy("site", "path", "query").agg(*[f(F.xxhash64(F.substring_index("normalized_text", "\n", 1))).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))])
     apart = titles.groupBy("site", "path").agg(F.bool_and(F.col("lo") == F.col("hi")).alias("one"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(F.col("one") & (F.col("lo") != F.col("hi")))
-    kept = kept.select("*", *_page_hash()).join(_small(apart.select(*_page_hash(), F.lit(True).alias("apart"))), ["p1", "p2"], "left").drop("p1", "p2")
+    kept = kept.select("*", *_page_hash()).join(bounded(apart.select(*_page_hash(), F.lit(True).alias("apart"))), ["p1", "p2"], "left").drop("p1", "p2")
     return kept.withColumn("path", F.when(F.col("apart") & (F.col("query") != ""), F.concat("path", F.lit("?"), "query")).otherwise(F.col("path"))).drop("apart", "query")
 
 
@@ -496,7 +501,7 @@ def coded_texts(df: DataFrame, text: bool = False) -> Coded:
     model, longest = learn(texts, shared)
     model = durable(model)
     asked = texts.select("page", F.explode(F.array_distinct(F.concat("line_keys", "starts"))).alias("key"))
-    found = asked.join(_small(model), "key").groupBy("page").agg(F.collect_list(F.struct("key", "kind")).alias("found"))
+    found = asked.join(bounded(model), "key").groupBy("page").agg(F.collect_list(F.struct("key", "kind")).alias("found"))
     joined = texts.join(shared.select("page", "keys"), "page", "left").join(found, "page", "left")
     last = "form" if text else "line_keys"
 
@@ -572,7 +577,7 @@ def diff_frame_lines(changes: DataFrame, coded: Coded, flags: DataFrame) -> Data
     diffs = with_canonical(diffs, "diff_excerpt", "form").select("change_id", "site", "path", "full", "form", F.monotonically_increasing_id().alias("no"))
     diffs = durable(diffs.mapInPandas(keyed, "change_id string, site string, path string, full string, form string, no bigint, asked array<bigint>"))
     wanted = diffs.select("site", "path").unionByName(diffs.select("site", F.col("full").alias("path"))).select(*_page_hash()).distinct()
-    near = flags.select("*", *_page_hash()).join(_small(wanted), ["p1", "p2"], "left_semi")
+    near = flags.select("*", *_page_hash()).join(bounded(wanted), ["p1", "p2"], "left_semi")
     seen = near.select("p1", "p2", F.explode(F.arrays_zip("line_keys", F.split("codes", "").alias("code"))).alias("x"))
     lines = seen.groupBy("p1", "p2", F.col("x.line_keys").alias("key")).agg(F.bool_and(F.col("x.code") == "F").alias("frame"), F.bool_or(F.col("x.code") == "T").alias("title"))
     pages = lines.groupBy("p1", "p2").agg(F.collect_list(F.when(F.col("frame"), F.col("key"))).alias("own"), F.collect_list(F.when(F.col("title"), F.col("key"))).alias("titles"))
@@ -581,7 +586,7 @@ def diff_frame_lines(changes: DataFrame, coded: Coded, flags: DataFrame) -> Data
     for_full = [F.xxhash64(F.lit(x), "site", "full").alias(n) for x, n in (("a", "p1"), ("b", "p2"))]
     of_path = diffs.select("no", *_page_hash()).join(pages.select("p1", "p2", F.struct("own", "titles").alias("near")), ["p1", "p2"]).select("no", "near")
     of_full = diffs.select("no", *for_full).join(exact, ["p1", "p2"]).select("no", "exact")
-    learned = diffs.select("no", F.explode("asked").alias("key")).join(_small(coded.model), "key").groupBy("no").agg(F.collect_list(F.struct("key", "kind")).alias("found"))
+    learned = diffs.select("no", F.explode("asked").alias("key")).join(bounded(coded.model), "key").groupBy("no").agg(F.collect_list(F.struct("key", "kind")).alias("found"))
     known = diffs.select("no", "change_id", "form").join(of_path, "no", "left").join(of_full, "no", "left").join(learned, "no", "left")
     best = F.coalesce("exact", "near")
     return known.select("change_id", "form", best["own"].alias("own"), best["titles"].alias("titles"), "found").mapInPandas(found, "change_id string, line_no int").distinct()

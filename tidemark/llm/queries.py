@@ -46,13 +46,13 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return sites.without_lines(s, "snapshot_id", "normalized_text", _repeated(spark, d), "cleaned_text").select("snapshot_id", "cleaned_text")
 
 
-def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "snapshots", "snapshot_id", "url", "fetched_at", "normalized_text"))
+def _pages(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return spread(table(spark, d, "snapshots", "snapshot_id", "url", "fetched_at", "normalized_text", *more))
 
 
 def p4_evidence(spark: SparkSession, d: str) -> DataFrame:
     """What speaks for and against each snapshot being residue."""
-    return residue.residue_evidence(_pages(spark, d))
+    return residue.residue_evidence(_pages(spark, d, "http_status", "raw_bytes"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

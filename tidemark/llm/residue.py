@@ -1,93 +1,56 @@
 """Template residue and error-page text.
 
-Method: the address slug, the title and the body terms of a page are compared;
-low-information bodies that mismatch and recur on other addresses are flagged
-with the evidence of their host, and placeholder detectors judge line by line.
+Method: the address slug, the title and the body terms of a page are compared, and
+low-information bodies that mismatch and recur on other addresses are flagged with
+the evidence of their hosts. No message is known beforehand: a line counts as residue
+when it recurs on hosts and under titles that have nothing to do with it, on bodies far
+shorter than their host's, beside no line of the page's own. Detectors know the marks of
+unfilled placeholders, repeated tokens and the words around 'lorem ipsum'; an error status and
+a body that a script would have to fill are evidence, too.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import coded_texts, letters, plain, remembered
-from tidemark.session import durable
-
-LOW_LINES = 6  # body lines up to which a body may be judged low in information
-LEARN_SHARE = 0.8  # share of a line's pages that must be residue otherwise, for the line to count as residue
-LEARN_PAGES = 3
-
-# Forms of unfilled placeholders; n stands for a field's name.
-_N = r"[\w .-]{1,40}"
-PLACEHOLDERS = rf"""
-\{{\{{\s*{_N}\s*\}}\}} | \$\{{{_N}\}} | \#\{{{_N}\}} | %\({_N}\)[sd]? | %%{_N}%% | \[%{_N}%\] | \[\[{_N}\]\] | <<{_N}>> | @@{_N}@@ | __{_N}?__ | \{{%\s*{_N}\s*%\}} | <%=?\s*{_N}\s*%>
-\[[\w ]{{1,40}} tbd\] | \[insert [\w ]{{1,40}}\] | \[your [\w ]{{1,40}}\] | \[[\w ]{{1,30}} here\]
-"""
-# Filler and sample text, as whole lines.
-FILLER = r"""
-placeholder( text)?|sample (text|heading|page|content)\b.{0,40}|dummy (text|paragraph|page)\b.{0,20}|demo (block|page|text)\b.{0,20}|test page\b.{0,20}|(your )?text goes here|replace this (copy|text)\b.{0,40}
-(add|insert|write|put) (body|text|content|title|your text)\b.{0,20} here|content coming( soon)?|coming soon|under construction|to be (written|added|announced)|tbd|todo\b.{0,40}
-texto de (ejemplo|muestra|prueba)\b.{0,40}|contenido pendiente|aqui va el texto|proximamente|texte d'exemple\b.{0,40}|contenu a venir|votre texte ici|пример текста\b.{0,40}|текст скоро появится|здесь будет текст|示例文字.{0,20}|此处填写.{0,20}|内容待补.{0,10}
-"""
-# Error, outage and refusal messages; a line that begins so and ends soon after.
-MESSAGES = r"""
-((error|http|erreur|ошибка|错误|status) ?)?[1-5]\d\d( error| not found| forbidden)?|not found|page (gone|not found|missing)|access (refused|denied)|forbidden|service (paused|unavailable)|something (broke|went wrong)|oops|sorry|bad gateway\b.{0,50}|gateway time-?out\b.{0,30}
-we could not find (that|this|the) (address|page)\b.{0,40}|the page you (asked for|requested) (is not here|does not exist|cannot be found)|the link may be (old|broken)\b.{0,30}|this address has been retired|your session has (ended|expired)\b.{0,60}|you lack the rights to view\b.{0,30}
-(could not|cannot) connect to (store|database|server)\b.{0,40}|our systems did not answer\b.{0,30}|the server met a (fault|problem)\b.{0,40}|too many requests\b.{0,40}|your request was (stopped|blocked)\b.{0,40}|the portal is down for (upkeep|maintenance)( until \S+| now)?|(please )?try again( later)?|go back to the (front|home) page|internal server error
-(ticket|incident|ref|reference|incidencia|incident n°|обращение|编号|инцидент|номер|réf|ref)\.?:?( no\.?)? ?[\d-]+|trace: .{0,60}|request id.{0,40}
-(la )?pagina (que busca )?no (existe|encontrada)\b.{0,20}|no encontrado|lo sentimos|su sesion ha caducado|no se pudo abrir el recurso|intente mas tarde|error \d{3}|acceso (denegado|rechazado)|servicio (suspendido|no disponible)\b.{0,20}|el servicio (esta|no esta)\b.{0,30}|demasiadas peticiones\b.{0,20}|incidencia [\d-]+
-introuvable|page introuvable|la page demandee n'existe pas|le service est (suspendu|indisponible)\b.{0,20}|desole|acces (refuse|interdit)|reessayez plus tard|votre session a expire\b.{0,20}|trop de requetes\b.{0,20}|le lien est (ancien|rompu)\b.{0,20}
-страница не (наидена|наидена|найдена|существует)|не (наидено|найдено)|запрошеннои страницы нет|номер сбоя [\d-]+|сервис (временно )?(недоступен|приостановлен|не работает)|доступ (запрещен|закрыт)|извините|ошибка|сессия (истекла|завершена)|попробуите позже|попробуйте позже|слишком много запросов\b.{0,20}|ошибка сервера.{0,20}
-(您访问的)?页面(不存在|未找到|已移除).{0,6}|未找到.{0,10}|服务(暂时)?不可用|服务已暂停|访问被拒绝|拒绝访问|抱歉|会话已过期.{0,10}|请稍后(再试|重试)|无法打开.{0,10}|请求过多.{0,10}|找不到.{0,12}|系统.{0,6}(错误|故障|繁忙).{0,8}
-"""
-# Notices that scripts are needed or that the page is still loading.
-SCRIPTS = r"""
-loading( content| page)?|please wait( while the page loads)?|(please )?(turn on|enable|activate|allow) (java)?scripts?( and cookies)?\b.{0,50}|scripts must be on\b.{0,40}|(this (app|site|page) )?(needs|requires) javascript\b.{0,30}|this (app|site|page) (needs|requires) (java)?scripts?\b.{0,30}|for full use of this site switch scripting on|your browser (blocks|does not (support|allow|run)) (java)?scripts?\b.{0,60}
-verifying that you are a person|(we are )?checking your browser\b.{0,30}|one moment( please)?|javascript is (off|disabled|required)\b.{0,30}|you need to enable javascript\b.{0,30}
-cargando|espere( por favor)?|(active|habilite) (javascript|los scripts)\b.{0,40}|su navegador (no permite|bloquea) (java)?scripts?\b.{0,30}|este sitio (necesita|requiere) javascript\b.{0,20}|verificando\b.{0,30}
-chargement|veuillez patienter|activez (javascript|les scripts)\b.{0,40}|votre navigateur (bloque|n'autorise pas|n'accepte pas) les scripts\b.{0,30}|cette page (exige|necessite|demande) javascript\b.{0,20}
-загрузка|подождите\b.{0,30}|(включите|разрешите) (javascript|скрипты|сценарии)\b.{0,40}|(ваш )?браузер (не поддерживает|блокирует) (скрипты|сценарии|javascript)\b.{0,20}|для работы (саита|страницы) нужен javascript
-(正在)?加载(中)?|请稍候|请启用(脚本|javascript).{0,20}|您的浏览器.{0,12}脚本.{0,10}|本页需要(脚本|javascript).{0,10}|需要启用(脚本|javascript).{0,16}
-"""
-
-
-def _whole(spec: str) -> re.Pattern:
-    parts = [x.strip() for x in spec.strip().split("\n")]
-    return re.compile(r"[\s¡¿!…]*(?:" + "|".join(parts) + r")[\s.!…。！,]*")
-
-
-_PLACE = re.compile("(?:" + "|".join(x.strip() for x in re.split(r"(?<=\S) \| |\n", PLACEHOLDERS) if x.strip()) + ")")
-_LABEL = re.compile(r"[\w ./-]{1,40}:\s*")
-_FILLER, _MESSAGE, _SCRIPT = _whole(FILLER), _whole(MESSAGES), _whole(SCRIPTS)
+from tidemark.session import bounded, durable
+
+LOW = 3  # a body of less than one part in so many of its host's usual length is low in information
+LOW_SHARE = 0.8  # of a residue line's texts are low in information,
+ALONE = 0.5  # ... and so many hold no line of their own,
+MISMATCH = 0.5  # ... and in so many the line shares no term with slug or title
+TERM = 4  # letters of a term that counts in these comparisons
+FILLED = 0.8  # share of filler words in a line that is filler
+ERROR = 400  # lowest http status that is evidence of an error
+
+# Marks around unfilled placeholders, as patterns of what is left of a line without its label.
+PLACEHOLDERS = [
+    r"\{\{.*\}\}", r"\$\{.*\}", r"#\{.*\}", r"%\([^)]*\)[sd]?", r"%%.*%%", r"\[[^\[\]]{1,80}\]", r"\[\[.*\]\]", r"<<.*>>", r"@@.*@@", r"__.*__", r"\{%.*%\}", r"<%.*%>",
+]
+#: an empty element that a script right behind it is to fill
+SHELL = r"(?is)<(div|main|section)\b[^>]*>\s*</\1>\s*<script"
+_PLACE = re.compile("|".join(PLACEHOLDERS))
+_LABEL = re.compile(r"[^\W\d_][\w ./-]{0,40}:\s*")
 _WORDS = re.compile(r"[^\W\d_]+")
+_SURE = {"lorem", "ipsum"}
 
 
 @remembered(1 << 16)
 def residue_class(line: str) -> str:
-    """'placeholder', 'filler', 'message', 'script' or ''; by the line alone."""
+    """'placeholder', 'filler' or ''; by the line's marks alone."""
     p = plain(line).strip()
-    if not p:
-        return ""
-    rest = _PLACE.sub("", p)
-    if rest != p:
-        rest = _LABEL.sub("", rest.strip(), count=1).strip(" .,:;|-") if rest.strip() else ""
-        if not rest:
-            return "placeholder"
+    if _PLACE.fullmatch(_LABEL.sub("", p, count=1)) or _PLACE.fullmatch(p):
+        return "placeholder"
     tokens = p.split()
-    if len(tokens) >= 3 and len({t.strip(".,") for t in tokens}) == 1:
-        return "filler"
-    if _FILLER.fullmatch(p):
-        return "filler"
-    if _MESSAGE.fullmatch(p):
-        return "message"
-    if _SCRIPT.fullmatch(p):
-        return "script"
-    return ""
+    return "filler" if len(tokens) >= 3 and len({t.strip(".,") for t in tokens}) == 1 else ""
 
 
 def filler_share(line: str, vocabulary: set[str]) -> float:
@@ -95,12 +58,14 @@ def filler_share(line: str, vocabulary: set[str]) -> float:
     return sum(w in vocabulary for w in words) / len(words) if words else 0.0
 
 
-def _body(text: str, codes: str) -> tuple[str, list[str]]:
-    """Title and body lines; a line that repeats the title is no body of its own."""
-    lines = text.split("\n")
-    head = letters(lines[0]) or plain(lines[0]).strip()
-    body = [x for x, c in zip(lines[1:], codes[1:]) if c == "B" and x.strip() and (letters(x) or plain(x).strip()) != head]
-    return lines[0], body
+@remembered(1 << 15)
+def line_key(line: str) -> int:
+    """What residue lines are compared by: letters, or the plain line where it has none."""
+    return xxhash.xxh3_64_intdigest(letters(line) or plain(line).strip()) - (1 << 63)
+
+
+def terms(text: str) -> set[str]:
+    return {w for w in _WORDS.findall(plain(text)) if len(w) >= TERM}
 
 
 def filler_vocabulary(snaps: DataFrame, text: str) -> set[str]:
@@ -111,16 +76,14 @@ def filler_vocabulary(snaps: DataFrame, text: str) -> set[str]:
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: dict[tuple[str, bool], int] = {}
+        n: Counter = Counter()
         for f in frames:
             for text in f["text"]:
                 for line in text.split("\n"):
                     words = set(_WORDS.findall(plain(line)))
-                    sure = bool(words & {"lorem", "ipsum"})
-                    for w in words:
-                        n[w, sure] = n.get((w, sure), 0) + 1
-                    if sure:
-                        n["", True] = n.get(("", True), 0) + 1
+                    sure = bool(words & _SURE)
+                    n.update((w, sure) for w in words)
+                    n["", True] += sure
         yield pd.DataFrame([(w, s, k) for (w, s), k in n.items()], columns=["word", "sure", "n"])
 
     near = snaps.select(F.col(text).alias("text")).filter(F.col(text).contains("lorem") | F.col(text).contains("ipsum"))
@@ -128,62 +91,89 @@ def filler_vocabulary(snaps: DataFrame, text: str) -> set[str]:
     sums = durable(counts.groupBy("word").agg(F.sum(F.when(F.col("sure"), F.col("n")).otherwise(0)).alias("k"), F.sum("n").alias("n")))
     total = sums.filter(F.col("word") == "").select(F.col("k").alias("of"))
     kept = sums.filter(F.col("word") != "").join(F.broadcast(total)).filter((F.col("k") >= F.greatest(F.lit(2), F.col("of") / 1000)) & (F.col("k") * 4 >= F.col("n")))
-    return {"lorem", "ipsum"} | {r["word"] for r in kept.select("word").collect()}
+    return _SURE | {r["word"] for r in kept.select("word").collect()}
+
+
+LINES = "page bigint, site bigint, address bigint, title bigint, n_body int, n_sure int, n_chars bigint, sure_title boolean, overlap int, lines array<struct<key:bigint,n:int,apart:boolean>>"
 
 
-def _judge(coded: DataFrame, vocabulary: set[str]) -> DataFrame:
-    """Per distinct text (``page``) the counts of its body lines and the hash of its body.
+def _bodies(texts: DataFrame, vocabulary: set[str]) -> DataFrame:
+    """Per distinct text what its body says; ``lines`` are those no detector knows, with how often they stand there and whether they mismatch slug and title.
 
-    Counts and overlap are of the whole body, whatever its length.
+    A line that repeats the title is no evidence for a match. Only hashes travel on.
     """
-    shared = coded.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def digest(x: str) -> int:
+        return xxhash.xxh3_64_intdigest(x) - (1 << 63)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = shared.value
+
+        def sure(line: str) -> bool:
+            return bool(residue_class(line)) or filler_share(line, words) >= FILLED
+
         for f in frames:
             rows = []
             for page, site, path, text, codes in zip(f["page"], f["site"], f["path"], f["form"], f["codes"]):
-                title, body = _body(text, codes)
-                low = len(body) <= LOW_LINES
-                bad = [x for x in body if residue_class(x) or filler_share(x, words) >= 0.8]
-                slug = {w for w in re.split(r"[^a-z]+", path.rsplit("/", 2)[-2] if path.count("/") > 1 else path) if len(w) > 2}
-                terms = set(_WORDS.findall(plain(" ".join(body))))
-                heads = set(_WORDS.findall(plain(title)))
-                odd = [x for x in body if x not in set(bad)] if low else []
+                lines = text.split("\n")
+                title = line_key(lines[0])
+                body = [x for x, c in zip(lines[1:], codes[1:]) if c == "B" and x.strip()]
+                about = terms(path) | terms(lines[0])
+                known = [sure(x) for x in body]
+                own = Counter(line_key(x) for x, k in zip(body, known) if not k)
+                apart = {line_key(x): line_key(x) == title or not terms(x) & about for x, k in zip(body, known) if not k}
+                met = terms(" ".join(x for x in body if line_key(x) != title)) & about
                 rows.append((
-                    page, site, path, len(body), len(bad), bool(residue_class(title)) or filler_share(title, words) >= 0.8,
-                    len(terms & (slug | heads)), xxhash.xxh3_64_intdigest(re.sub(r"\d+", "#", "\n".join(sorted(map(plain, body))))) - (1 << 63),
-                    [xxhash.xxh3_64_intdigest(letters(x) or plain(x)) - (1 << 63) for x in odd],
-                ))
-            yield pd.DataFrame(rows, columns=["page", "site", "path", "n_body", "n_bad", "bad_title", "overlap", "body", "odd"])
+                    page, digest(site), digest(f"{site}\n{path}"), title, len(body), sum(known), sum(map(len, body)), sure(lines[0]), len(met),
+                    [{"key": k, "n": n, "apart": apart[k]} for k, n in own.items()]))
+            yield pd.DataFrame(rows, columns=["page", "site", "address", "title", "n_body", "n_sure", "n_chars", "sure_title", "overlap", "lines"])
+
+    return texts.select("page", "site", "path", "form", "codes").mapInPandas(run, LINES)
+
+
+def _several(name: str) -> Column:
+    """Whether a group has more than one value; needs no list of them."""
+    return (F.min(name) != F.max(name)).alias(f"some_{name}")
+
 
-    return coded.select("page", "site", "path", "form", "codes").mapInPandas(run, "page bigint, site string, path string, n_body int, n_bad int, bad_title boolean, overlap int, body bigint, odd array<bigint>")
+def residue_lines(bodies: DataFrame) -> DataFrame:
+    """(key) of the lines that are residue, from the rows of :func:`_bodies` with ``low``."""
+    each = bodies.select("page", "site", "address", "title", "low", F.explode("lines").alias("x")).select("page", "site", "address", "title", "low", "x.key", "x.apart")
+    # all tests of recurrence are pre-aggregated per key; no key gathers its pages
+    keys = each.groupBy("key").agg(_several("site"), _several("address"), _several("title"), F.count(F.lit(1)).alias("n"), F.count_if("low").alias("n_low"), F.count_if("apart").alias("n_apart"))
+    again = durable(keys.filter("some_address").drop("some_address"))
+    met = each.select("page", "key").join(bounded(again.select("key")), "key")
+    n_again = met.groupBy("page").agg(F.count(F.lit(1)).alias("again"))
+    alone = bodies.select("page", F.size("lines").alias("of")).join(n_again, "page").filter(F.col("again") >= F.col("of")).select("page")
+    n_alone = met.join(alone, "page", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n_alone"))
+    likely = again.filter(F.col("some_site") & F.col("some_title") & (F.col("n_low") >= F.col("n") * LOW_SHARE) & (F.col("n_apart") >= F.col("n") * MISMATCH))
+    return likely.join(n_alone, "key").filter(F.col("n_alone") >= F.col("n") * ALONE).select("key")
 
 
 def residue_evidence(snaps: DataFrame) -> DataFrame:
-    """Per snapshot: n_body, n_bad, overlap, copies and ``residue``.
-
-    ``snaps``: snapshot_id, url, fetched_at, normalized_text. A snapshot is residue when it has a
-    body and every line of it is a placeholder, filler, a message or a script
-    notice, by itself or because the line stands almost only on such pages; or when
-    it has no body but such a title; or when its short body mismatches slug and
-    title, recurs on at least LEARN_PAGES other addresses and is far shorter than
-    its host's pages. Pages without body and with a normal title are none.
+    """Per snapshot: n_body, n_bad, overlap, host_chars, error_status, shell and ``residue``.
+
+    ``snaps``: snapshot_id, url, fetched_at, normalized_text, http_status, raw_bytes (null: no evidence). A snapshot
+    is residue when it has a body and every line of it is a placeholder, filler, or a
+    line learned as residue; or when it has no body but such a title; or when a body
+    far shorter than its host's waits for a script, or came with an error status, shares
+    no term with slug and title and is such lines by half. Pages without body and with
+    a normal title are none. Snapshots of one page and text share their evidence.
     """
     coded = coded_texts(snaps, text=True)
-    judged = durable(coded.rows.join(_judge(coded.texts, filler_vocabulary(snaps, "normalized_text")), "page").drop("page"))
-    # a short body's other lines, and how often each stands among residue
-    odd = judged.filter(F.size("odd") > 0).select("snapshot_id", "path", (F.col("n_bad") >= F.size("odd")).alias("mostly"), F.explode("odd").alias("line"))
-    lines = odd.groupBy("line").agg(F.avg(F.col("mostly").cast("int")).alias("share"), F.approx_count_distinct("path").alias("paths"))
-    learned = lines.filter((F.col("share") >= LEARN_SHARE) & (F.col("paths") >= LEARN_PAGES)).select("line")
-    extra = odd.join(learned, "line").groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n_extra"))
-    # duplicated low-information bodies, and the usual length of their host's pages
-    low = judged.filter((F.col("n_body") > 0) & (F.col("n_body") <= 3) & (F.col("n_bad") < F.col("n_body")))
-    copies = low.groupBy("body").agg(F.countDistinct("site", "path").alias("copies")).filter(F.col("copies") > LEARN_PAGES)
-    hosts = judged.groupBy("site").agg(F.avg("n_body").alias("host_lines"))
-    suspects = low.filter((F.col("overlap") == 0)).join(copies, "body").join(hosts, "site").select("snapshot_id", "copies", "host_lines")
-    out = judged.join(extra, "snapshot_id", "left").join(suspects, "snapshot_id", "left")
-    bad = F.col("n_bad") + F.coalesce("n_extra", F.lit(0))
-    whole = ((F.col("n_body") > 0) & (bad >= F.col("n_body"))) | ((F.col("n_body") == 0) & F.col("bad_title"))
-    duplicate = F.coalesce((F.col("copies") > LEARN_PAGES) & (F.col("n_body") * 3 < F.col("host_lines")), F.lit(False))
-    return out.select("snapshot_id", "n_body", "n_bad", "overlap", F.coalesce("copies", F.lit(0)).alias("copies"), (whole | duplicate).alias("residue"))
+    bodies = durable(_bodies(coded.texts, filler_vocabulary(snaps, "normalized_text")))
+    hosts = bodies.filter("n_body > 0").groupBy("site").agg(F.percentile_approx("n_chars", 0.5).alias("host_chars"))
+    bodies = durable(bodies.join(bounded(hosts), "site", "left").withColumn("low", F.coalesce(F.col("n_chars") * LOW < F.col("host_chars"), F.lit(False))))
+    lines = bounded(durable(residue_lines(bodies)))
+    hits = bodies.select("page", F.explode("lines").alias("x")).select("page", "x.key", "x.n").join(lines, "key").groupBy("page").agg(F.sum("n").alias("n_learned"))
+    titles = bodies.select("page", F.col("title").alias("key")).join(lines, "key", "left_semi").select("page", F.lit(True).alias("learned_title"))
+    raw = F.make_valid_utf8(F.col("raw_bytes").cast("string"))
+    marks = snaps.select(F.col("snapshot_id").cast("bigint").alias("snapshot_id"), (F.col("http_status") >= ERROR).alias("e"), raw.rlike(SHELL).alias("s"))
+    marked = coded.rows.join(marks, "snapshot_id").groupBy("page").agg(F.coalesce(F.bool_or("e"), F.lit(False)).alias("error_status"), F.coalesce(F.bool_or("s"), F.lit(False)).alias("shell"))
+    out = bodies.join(hits, "page", "left").join(titles, "page", "left").join(marked, "page", "left").withColumn("n_bad", (F.col("n_sure") + F.coalesce("n_learned", F.lit(0))).cast("int"))
+    some = F.col("n_body") > 0
+    whole = (some & (F.col("n_bad") >= F.col("n_body"))) | (~some & (F.col("sure_title") | F.coalesce("learned_title", F.lit(False))))
+    failed = F.col("error_status") & (F.col("n_bad") * 2 >= F.col("n_body")) & (F.col("overlap") == 0)
+    judged = out.select("page", "n_body", "n_bad", "overlap", "host_chars", "error_status", "shell", (whole | (some & F.col("low") & (F.col("shell") | failed))).alias("residue"))
+    return coded.rows.join(judged, "page").select("snapshot_id", "n_body", "n_bad", "overlap", "host_chars", "error_status", "shell", "residue")

@@ -97,6 +97,42 @@ def test_leaks(spark):
     assert leakage.find_leaks(d, "doc_id", "text", e.filter("false"), "item_id", "text").count() == 0
 
 
+def test_leaks_with_replaced_words():
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(3000)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, text(m)) for i, m in enumerate([12, 15, 20, 40, 60, 120, 300, 900] * 4)]
+    index = leakage.index_items(items)
+    found, total = 0, 0
+    for k, (_, t) in enumerate(items):
+        w = t.split()
+        for step in (4, 5, 6, 7, 8):
+            for part in (0.45, 0.7, 1.0):
+                off = r.randint(0, len(w) - int(len(w) * part))
+                piece = w[off : off + int(len(w) * part)]
+                edited = [r.choice(words) if j % step == step - 1 else x for j, x in enumerate(piece)]
+                if sum(a == b for a, b in zip(piece, edited)) * 3 < len(w):
+                    continue
+                doc = f"{text(80)} {' '.join(edited)} {text(80)}"
+                near = {a: (b, rare) for a, b, rare in leakage.candidates(index, *leakage.seeds(doc))}
+                share = leakage.leaked_share(index.words[k], leakage.hashes(doc)[0], near[k][0])[0] if k in near else 0.0
+                found, total = found + (share >= 1 / 3 and near[k][1] >= share * leakage.RARE), total + 1
+    assert found >= 0.9 * total, (found, total)
+    assert leakage.candidates(index, *leakage.seeds(text(2000))) == []
+
+
+def test_pieces_of_a_long_item_follow_in_order():
+    r = random.Random(6)
+    text = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    item = text(1800)
+    seedy = lambda doc: (leakage.hashes(" ".join(doc))[0], *next(iter([(p,) for _, p, _ in leakage.candidates(leakage.index_items([(1, " ".join(item))]), *leakage.seeds(" ".join(doc)))])))
+    words = leakage.hashes(" ".join(item))[0]
+    h, places = seedy(text(50) + item[:1200] + text(50))
+    assert abs(leakage.leaked_share(words, h, places)[0] - 2 / 3) < 0.02
+    h, places = seedy(text(50) + item[600:1200] + text(40) + item[:600] + text(50))
+    assert leakage.leaked_share(words, h, places)[0] < 0.4
+
+
 # --- sentences
 
 ENGLISH = [

@@ -90,3 +90,11 @@ def test_site_of(spark):
     urls = {"https://www.A.b:8080/x": "a.b", "http://u:p@C.d?x": "c.d", "HTTPS://e.f.:443/": "e.f", "nonsense": "", "https://www.www.x/": "www.x"}
     got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", sites.site_of(F.col("u")).alias("s")).collect()
     assert {x.u: x.s for x in got} == urls
+
+
+def test_a_russian_line_stays_russian():
+    line = "оно с вами, а он со мной: у нас тот сбор"
+    assert looks.canonical(line) == line
+    assert looks.canonical(line.replace("с ", "c ")) == line  # a Latin c
+    assert looks.canonical("а сору of the form") == "a copy of the form"  # Cyrillic letters in an English line
+    assert looks.canonical("сору") == "copy"

@@ -23,6 +23,26 @@ def test_best_fit_keeps_every_constraint(sizes):
     assert len(got) == len(s)
 
 
+def test_the_attention_cost_binds_and_long_items_stand_alone():
+    sizes = np.array([900, 800, 500, 400, 300, 300, 200, 100, 100])
+    cost = 0.5 * 1000.0**2
+    got = packing.best_fit(sizes, 1000, 100, cost)
+    for k in set(got.tolist()):
+        own = sizes[got == k].astype(float)
+        assert own.sum() <= 1000 and ((own**2).sum() <= cost or len(own) == 1)
+    scalar = packing.best_fit(sizes, 1000, 100, 1000.0**2)
+    assert [set(np.flatnonzero(got == k)) for k in sorted(set(got))] != [set(np.flatnonzero(scalar == k)) for k in sorted(set(scalar))]
+
+
+def test_equal_names_are_told_apart(spark):
+    df = spark.createDataFrame([(i, "word " * 30) for i in range(20)], "doc_id bigint, text string")
+    budgets = spark.createDataFrame([("b", 64), ("b", 128)], "budget_name string, capacity_tokens int")
+    out = packing.pack(df, "doc_id", "text", budgets)
+    assert {x.capacity_tokens for x in packing.fill(out).collect()} == {64, 128}
+    assert out.groupBy("container_id").agg({"capacity_tokens": "min"}).count() == out.select("capacity_tokens", "container_id").distinct().count()
+    assert all(x.n_broken == 0 and x.n_over == 0 and x.n_documents == 20 for x in packing.checks(out).collect())
+
+
 def test_best_fit_is_tight_and_refuses():
     r = random.Random(1)
     s = np.array(sorted((r.randrange(1, 300) for _ in range(2_000)), reverse=True))
@@ -52,7 +72,7 @@ def test_pack_round_trip(spark):
                 assert list(pieces["token_start"]) == [cap * k for k in range(len(pieces))]
     assert packing.pack(df.filter("false"), "doc_id", "text", budgets).count() == 0
     assert packing.pack(df, "doc_id", "text", budgets.filter("false")).count() == 0
-    fill = {x.budget_name: x for x in packing.fill(packing.pack(df, "doc_id", "text", budgets), budgets).collect()}
+    fill = {x.budget_name: x for x in packing.fill(packing.pack(df, "doc_id", "text", budgets)).collect()}
     assert 0 <= fill["s"].unused_share < 0.05
 
 

@@ -3,7 +3,8 @@
 Method: characters that fail the normalization quick check (or are invisible,
 of another width, joined, or a look-alike) are isolated as segments together
 with the starter before them; only the segments are normalized, and the results
-are spliced into the unchanged rest. Texts of plain ASCII never reach Python.
+are spliced into the unchanged rest. A word whose letters all look alike in several
+scripts is written in the script of its line. Texts of plain ASCII never reach Python.
 """
 
 from __future__ import annotations
@@ -86,7 +87,10 @@ class _Tables:
         self.segment = re.compile(f"[{self._class(unstable)}]+")
         self.scripts = [(regex.compile(p), m, {v: k for k, v in m.items()}) for p, m in (
             (r"\p{Cyrillic}", _pairs(CYRILLIC)), (r"\p{Greek}", _pairs(GREEK)), (r"\p{Armenian}", _pairs(ARMENIAN)))]
-        self.other = re.compile("[\u0370-\u058f]+")
+        self.other = re.compile("[\u0370-\u058f]")
+        self.word = regex.compile(r"[\p{L}\p{M}]+")
+        self.latin = regex.compile(r"\p{Latin}")
+        self.shared = {v for _, m, _ in self.scripts for v in m.values()}
         self.bare = cache(self._bare)
         self.one_word = lru_cache(1 << 16)(self._one_word)
 
@@ -120,42 +124,42 @@ class _Tables:
         return "".join(out)
 
     def words(self, text: str) -> str:
-        """Decides the script of each word that holds a letter of another script than Latin."""
+        """Decides the script of each word in the lines that hold a letter of another script than Latin."""
+        if not self.other.search(text):
+            return text
+        return "\n".join(self._line(x) if self.other.search(x) else x for x in text.split("\n"))
+
+    def _line(self, line: str) -> str:
+        words = [(m.start(), m.end(), *self.one_word(m[0])) for m in self.word.finditer(line)]
+        sure = [0] * (len(self.scripts) + 1)
+        for _, _, _, own, letters in words:
+            if own >= 0:
+                sure[own] += letters
+        # letters of one script only are the same in all texts that look alike, so all of them decide alike
+        main = max(range(len(sure)), key=lambda k: (sure[k], k == len(self.scripts)))
         out, done = [], 0
-        for m in self.other.finditer(text):
-            if m.end() <= done:
-                continue
-            lo, hi = m.start(), m.end()
-            while lo > done and self._letter(text[lo - 1]):
-                lo -= 1
-            while hi < len(text) and self._letter(text[hi]):
-                hi += 1
-            out.append(text[done:lo])
-            out.append(self.one_word(text[lo:hi]))
+        for lo, hi, forms, own, _ in words:
+            out += [line[done:lo], forms[own if own >= 0 else main]]
             done = hi
-        out.append(text[done:])
-        return "".join(out)
-
-    @staticmethod
-    def _letter(c: str) -> bool:
-        return c.isalpha() or ud.combining(c) > 0
+        return "".join(out) + line[done:]
 
-    def _one_word(self, w: str) -> str:
-        """A word with a letter that belongs to one script only is written in that script, any other in Latin letters."""
+    def _one_word(self, w: str) -> tuple[tuple[str, ...], int, int]:
+        """A word in the letters of each script and, last, in Latin ones; the script of its letters that belong to one only, -1 without such; their number."""
         bare = [self.bare(c) for c in w]
-        kept = None
-        for own, to, back in self.scripts:
-            if any(own.match(b) and b not in to for b, _ in bare):
-                kept = back
-                break
-        out = []
+        n = [0] * (len(self.scripts) + 1)
+        latin = []
         for b, marks in bare:
-            for _, to, _ in self.scripts:
-                b = to.get(b, b)
-            if kept:
-                b = kept.get(b, b)
-            out.append(b + marks)
-        return ud.normalize("NFC", "".join(out))
+            to = b
+            for k, (own, table, _) in enumerate(self.scripts):
+                if own.match(b):
+                    n[k] += b not in table
+                    to = table.get(b, b)
+            if to == b and b not in self.shared and self.latin.match(b):
+                n[-1] += 1
+            latin.append((to, marks))
+        first = next((k for k, x in enumerate(n) if x), -1)
+        forms = [ud.normalize("NFC", "".join(back.get(b, b) + marks for b, marks in latin)) for _, _, back in self.scripts]
+        return (*forms, ud.normalize("NFC", "".join(b + marks for b, marks in latin))), first, n[first] if first >= 0 else 0
 
 
 @cache

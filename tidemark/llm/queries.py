@@ -90,7 +90,17 @@ def p7_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     """How full the containers are."""
-    return packing.fill(p7_assignment(spark, d), table(spark, d, "token_budgets"))
+    return packing.fill(p7_assignment(spark, d))
+
+
+def p7_spread_cost(spark: SparkSession, d: str) -> DataFrame:
+    """The fill where the attention cost binds, at most two fifths of that of one document that fills a container."""
+    return packing.fill(packing.pack(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "token_budgets"), cost_share=0.4, weights=(1.0, 0.02, 1.0)))
+
+
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """That every document is placed once, whole, and no container is over its size."""
+    return packing.checks(p7_assignment(spark, d))
 
 
 def p8_passages(spark: SparkSession, d: str) -> DataFrame:
@@ -118,6 +128,16 @@ def p9_units_per_document(spark: SparkSession, d: str) -> DataFrame:
     return units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.max(F.col("end_pos") - F.col("start_pos")).alias("longest"))
 
 
+def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Characters in each document's units but white space; every one of the document's must be in one unit."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    units = p9_found(spark, d).join(docs, "doc_id")
+    own = F.substring("text", (F.col("start_pos") + 1).cast("int"), (F.col("end_pos") - F.col("start_pos")).cast("int"))
+    return units.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace(own, _SPACE, ""))).alias("n_chars"))
+
+
+_SPACE = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_canonical": p1_canonical,
@@ -130,10 +150,16 @@ QUERIES = {
     "p6_main_text": p6_main_text,
     "p7_assignment": p7_assignment,
     "p7_fill": p7_fill,
+    "p7_spread_cost": p7_spread_cost,
+    "p7_checks": p7_checks,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
     "p8_leaked_items": p8_leaked_items,
     "p9_found": p9_found,
     "p9_units_per_document": p9_units_per_document,
+    "p9_coverage": p9_coverage,
+}
+ORACLES: dict[str, str] = {
+    "p7_checks": "SELECT budget_name, CAST(capacity_tokens AS BIGINT) AS capacity_tokens, n_documents, 0 AS n_broken, 0 AS n_over FROM token_budgets, (SELECT count(DISTINCT doc_id) AS n_documents FROM documents WHERE text <> '')",
+    "p9_coverage": f"SELECT doc_id, n_chars FROM (SELECT doc_id, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS n_chars FROM documents) WHERE n_chars > 0",
 }
-ORACLES: dict[str, str] = {}

@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import chains, diffs, health, history, registry
-from tidemark.plans import problems, reference
+from tidemark.plans import ledger, problems, reference
 from tidemark.plans.ordered import previous_row, running_max
 from tidemark.sources import files, sinks
 from tidemark.sources.pages import PageFetcher, fetch_all
 from tidemark.streaming.streaks import append_new
 
-ORACLES = {**problems.ORACLES, **reference.ORACLES}
-QUERIES = {**problems.QUERIES, **reference.QUERIES}
+ORACLES = {**problems.ORACLES, **reference.ORACLES, **ledger.ORACLES}
+QUERIES = {**problems.QUERIES, **reference.QUERIES, **ledger.QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -75,7 +75,7 @@ def test_normalized_text(spark):
 
 
 def test_pages(spark):
-    from tidemark.operators.pages import normalized_pages
+    from tidemark.operators.pages import normalized_pages, with_title
 
     pages = [
         b"<html><head><title>A &amp; B</title><script>x<y</script ></head><body><!-- c --><p>One&nbsp;two<br>three</p><style>p{}</style></body></html>",
@@ -88,8 +88,11 @@ def test_pages(spark):
     assert got[2].page_text == "" and got[2].normalized_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[3].page_text is None
     assert got[4].page_text == "same\nsame"
-    titles = {x.i: x.t for x in df.select("i", T.page_title(T.decoded(F.col("raw_bytes"))).alias("t")).collect()}
+    titles = {x.i: x.t for x in with_title(df, "raw_bytes", "t").collect()}
     assert titles[0] == "A & B" and titles[1] == ""
+    loose = [b"<title lang='x'>F&eacute;es \n &lt;b&gt; <i>2</i></title foo><script>var a=1;</script foo=\"x\"><style>p{}</style\n><legend>One</legend><option>two</option>three<script>b</script >"]
+    row = with_title(normalized_pages(spark.createDataFrame([(loose[0],)], "raw_bytes binary")), "raw_bytes", "t").first()
+    assert row.t == "F\u00e9es <b> 2" and row.page_text == "f\u00e9es\n<b> 2\none\ntwo three", row
     assert html.unescape("&eacute;") == "é"
 
 
@@ -213,12 +216,40 @@ def test_diffs(spark):
     rows = [(1, "a\nb\nc", "a\nx\nc"), (2, "a\n\nb", "a\nb"), (3, None, "a"), (4, "\n".join(map(str, range(3000))), "z")]
     df = spark.createDataFrame(rows, "i int, o string, n string")
     got = {x.i: x.d for x in diffs.unified_diffs(df, "o", "n", "d").collect()}
-    assert got[1] == "\n".join(list(difflib.unified_diff(["a", "b", "c"], ["a", "x", "c"], lineterm="", n=2))[2:])
-    assert got[2] == "(no difference in passages)" and got[3] is None and got[4].endswith("[cut]") and len(got[4]) < 4_100
+    assert got[1] == "\n".join(difflib.unified_diff(["a", "b", "c"], ["a", "x", "c"], "previous", "current", lineterm="", n=2))
+    assert got[2] == "(no difference in passages: the change is in markup.)" and got[3] is None and got[4].endswith("[cut at 4000 characters]") and len(got[4]) < 4_100
+    assert diffs.unified("", "", "https://x") == "(binary page: no text to compare. See https://x.)"
+    assert diffs.unified("\n".join(map(str, range(3000))), "z", None, "text-v1/none-v1").startswith("(old side derived again from its bytes, recorded under text-v1/none-v1)\n\n--- previous")
     moved = {(x.i, x.passage): (x.n_removed, x.n_added) for x in diffs.passage_rows(df.filter("i = 1"), ["i"], "o", "n").collect()}
     assert moved == {(1, "b"): (1, 0), (1, "x"): (0, 1)}
 
 
+def test_scopes_and_gaps(spark):
+    rows = [("a", "AK", "x"), ("b", "AL", "y"), ("c", None, "x")]
+    df = spark.createDataFrame(rows, "source_id string, jurisdiction string, document_class string")
+    assert [r.source_id for r in registry.in_scope(df, " ak").collect()] == ["a"]
+    with pytest.raises(ValueError):
+        registry.in_scope(df, "zz")
+    gaps = spark.createDataFrame([("AK", "y"), ("AL", "y")], "jurisdiction string, document_class string")
+    got = {tuple(r) for r in registry.completeness_faults(df, df, gaps).collect()}
+    assert got == {("AL", "x", "silent"), ("AL", "y", "stale")}
+
+
+def test_public_text(spark):
+    texts = ["fine\n\ttext", "a\u200bb", "a\x07", "x" * 16_001, "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(T.public_text_verdict(F.col("t")).alias("v"), "i").orderBy("i").collect()
+    assert [r.v for r in got] == ["safe", "control", "control", "long", "empty", "empty"]
+
+
+def test_lifecycle_time_is_part_of_the_guid(spark):
+    cols = "change_id string, jurisdiction string, document_class string, kind string, url string, observed_at timestamp_ntz, lifecycle_at timestamp_ntz, publication_status string, superseded_by string, lifecycle_reason string, lifecycle_actor string"
+    at = datetime(2026, 1, 5, 1, 2, 3)
+    rows = [("c", "AK", "x", "k", "u", at, at, "withdrawn", None, "r", "a"), ("c", "AK", "x", "k", "u", at, at + timedelta(microseconds=5), "withdrawn", None, "r", "a")]
+    got = [r.guid for r in sinks.feed_items(spark.createDataFrame(rows, cols)).collect()]
+    want = [hashlib.sha256("\n".join(["c", "withdrawn", "", "r", "a", f"{x[6].isoformat()}+00:00"]).encode()).hexdigest()[:16] for x in rows]
+    assert got == [f"c-lifecycle-{w}" for w in want]
+
+
 def test_chains(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("w", "x"), ("q", None)]
     got = {x.id: (x.end_id, x.steps, x.cyclic) for x in chains.chain_ends(spark.createDataFrame(edges, "id string, next_id string")).collect()}

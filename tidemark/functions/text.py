@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Tags that end a passage.
-BLOCK_TAGS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
+BLOCK_TAGS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|legend|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
 # White space the reference's language knows, besides the line feed.
 SPACE = r"\t\x0b\x0c\r\x1c-\x1f\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 # The entities handled without Python, in the order in which they are replaced.
@@ -39,10 +39,12 @@ def normalized_text(text: Column) -> Column:
 
 def without_tags(markup: Column) -> Column:
     """Markup with scripts, styles, comments and tags turned into blanks and line breaks; entities stay."""
-    t = F.regexp_replace(markup, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    # an end tag may carry blanks and attributes and still ends its element
+    t = F.regexp_replace(markup, r"(?is)<script.*?</script\b[^>]*>", " ")
+    t = F.regexp_replace(t, r"(?is)<style.*?</style\b[^>]*>", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
     t = F.regexp_replace(t, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
-    return F.regexp_replace(t, r"<[^>]*>", " ")
+    return F.regexp_replace(t, r"<[^>]+>", " ")
 
 
 def common_entities(text: Column) -> Column:
@@ -72,10 +74,20 @@ def excerpt(text: Column, count: int = 12, budget: int = 900) -> Column:
     return F.array_join(F.aggregate(F.slice(passages(text), 1, count), start, step, lambda s: s["out"]), "\n")
 
 
-def page_title(markup: Column) -> Column:
-    """The first title element's text, white space collapsed, case kept; '' without one."""
-    t = F.regexp_extract(markup, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    return F.trim(F.regexp_replace(common_entities(F.regexp_replace(t, r"<[^>]*>", " ")), f"[{SPACE}\\n]+", " "))
+def title_markup(markup: Column) -> Column:
+    """The first title element's text with tags as blanks, entities as they are; '' without one."""
+    return F.regexp_replace(F.regexp_extract(markup, r"(?is)<title[^>]*>(.*?)</title\b[^>]*>", 1), r"<[^>]+>", " ")
+
+
+def collapsed(text: Column) -> Column:
+    """White space of any kind as single blanks, none at the ends."""
+    return F.trim(F.regexp_replace(text, f"[{SPACE}\\n]+", " "))
+
+
+def public_text_verdict(c: Column) -> Column:
+    """'empty', 'control' (control or format characters but line ends and tabs), 'long' (over 16,000 bytes) or 'safe'."""
+    held = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\x{ad}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}]"
+    return F.when(F.coalesce(c, F.lit("")) == "", "empty").when(c.rlike(held), "control").when(F.octet_length(c) > 16_000, "long").otherwise("safe")
 
 
 def sha256(c: Column) -> Column:
@@ -134,6 +146,11 @@ def strict_date(c: Column) -> Column:
     return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))
 
 
+def iso_utc(ts: Column) -> Column:
+    """A time in UTC as ISO text, with microseconds where there are any."""
+    return F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"), r"\.000000", "")
+
+
 def rfc2822(ts: Column) -> Column:
     return F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss +0000")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import duration_words
-from tidemark.plans.ordered import running_max
+from tidemark.plans.ordered import max_so_far
 
 
 def streaks(attempts: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def streaks(attempts: DataFrame) -> DataFrame:
     (source, success).
     """
     rows = attempts.filter(F.col("outcome") != "no-text").withColumn("__tm_ok", F.when(F.col("outcome") == "measured", F.struct("at", "seq")))
-    rows = running_max(rows, ["source_id"], ["at", "seq"], F.to_date("at"), "__tm_ok", "__tm_last")
+    rows = max_so_far(rows, ["source_id"], ["at", "seq"], "__tm_ok", "__tm_last")
     island = Window.partitionBy("source_id", "__tm_last").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
     failed = (F.col("outcome") == "not-retrieved").cast("int")
     out = rows.withColumn("streak", F.sum(failed).over(island).cast("bigint"))

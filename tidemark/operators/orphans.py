@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.ordered import running_max
+from tidemark.plans.ordered import max_so_far
 
 _END = "9999-12-31 00:00:00"
 
@@ -31,7 +31,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     Plan: distinct foreign keys are pre-aggregated and anti-joined against the
     distinct parent keys, then joined back. For the known keys the running maximum
     of valid_to over the rows begun so far tells whether one still holds; it runs
-    per (id, day), so no id is ever one task's work.
+    over blocks of a range partitioning, so no id is ever one task's work.
     """
     r = refs.filter(F.col("ref_id").isNotNull()).withColumn("id", folded_key(F.col("ref_id"))).select("ref_table", "ref_key", "id", "ref_at")
     p = parents.filter(F.col("id").isNotNull()).select(
@@ -47,7 +47,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     ).unionByName(
         p.select("id", F.col("valid_from").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("ref_table"), F.lit(None).cast("string").alias("ref_key"), "valid_to")
     )
-    held = running_max(both, ["id"], ["at", "kind"], F.to_date("at"), "valid_to", "held_until")
+    held = max_so_far(both, ["id"], ["at", "kind", "ref_table", "ref_key"], "valid_to", "held_until")
     judged = held.filter((F.col("kind") == 1) & (F.col("held_until").isNull() | (F.col("held_until") <= F.col("at"))))
     gone = judged.select("ref_table", "ref_key", "id", F.col("at").alias("ref_at"), F.when(F.col("held_until").isNull(), "late").otherwise("deleted").alias("reason"))
     out = absent.select("ref_table", "ref_key", "id", F.col("ref_at").cast("timestamp_ntz").alias("ref_at"), "reason").unionByName(gone)

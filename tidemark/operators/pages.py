@@ -25,3 +25,11 @@ def normalized_pages(df: DataFrame, raw: str = "raw_bytes", kind: str | None = N
     out = out.withColumn("normalized_sha256", F.when(F.col("__tm_kind") == "binary", F.lit("")).otherwise(T.sha256(F.col("page_text"))))
     out = out.withColumn("detection_sha256", F.when(F.col("__tm_kind") == "binary", F.col("raw_sha256")).otherwise(F.col("normalized_sha256")))
     return out.drop("__tm_kind", "__tm_bare", "__tm_rare", "__tm_plain")
+
+
+def with_title(df: DataFrame, raw: str, out: str) -> DataFrame:
+    """Adds ``out``, the page's own title with all entities decoded, case kept; '' without one. Only rows with rare entities pass through Python."""
+    based = df.withColumn("__tm_title", T.title_markup(T.decoded(F.col(raw))))
+    rare = based.withColumn("__tm_rare", F.when(T.has_rare_entity(F.col("__tm_title")), F.col("__tm_title")))
+    plain = F.coalesce(T.unescaped(F.col("__tm_rare")), T.common_entities(F.col("__tm_title")))
+    return rare.withColumn("__tm_plain", plain).withColumn(out, T.collapsed(F.col("__tm_plain"))).drop("__tm_title", "__tm_rare", "__tm_plain")

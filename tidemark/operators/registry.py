@@ -62,6 +62,28 @@ def missing_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return grid.join(have, [a, b], "left_anti")
 
 
+def completeness_faults(held: DataFrame, every: DataFrame, gaps: DataFrame) -> DataFrame:
+    """jurisdiction, document_class, fault: 'silent' pairs that are missing and not named as gaps, 'stale' ones named and not missing.
+
+    The vocabularies are those of ``every``; ``held`` are the entries that count, ``gaps`` the named pairs.
+    """
+    pair = ["jurisdiction", "document_class"]
+    have = held.select(*pair).distinct()
+    values = every.agg(F.array_sort(F.collect_set("document_class")).alias("all"))
+    grid = every.select("jurisdiction").filter(F.col("jurisdiction").isNotNull()).distinct().join(F.broadcast(values)).select("jurisdiction", F.explode("all").alias("document_class"))
+    missing, named = grid.join(have, pair, "left_anti"), gaps.select(*pair).distinct()
+    silent = missing.join(named, pair, "left_anti").withColumn("fault", F.lit("silent"))
+    return silent.unionByName(named.join(missing, pair, "left_anti").withColumn("fault", F.lit("stale")))
+
+
+def in_scope(df: DataFrame, jurisdiction: str) -> DataFrame:
+    """Entries of one jurisdiction, in any letter case. Raises where no entry has it: an unknown scope is an error, not an empty answer."""
+    own = df.filter(F.upper("jurisdiction") == jurisdiction.strip().upper())
+    if own.isEmpty():
+        raise ValueError(f"no entries of jurisdiction {jurisdiction!r}")
+    return own
+
+
 def revision(entries: list[dict]) -> str:
     """Digest of entries in their order: canonical JSON, keys sorted, compact, UTF-8. Registries are small files."""
     return hashlib.sha256(json.dumps(entries, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()

@@ -92,3 +92,13 @@ def range_blocks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return durable(df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in columns]).withColumn("__tm_range", F.spark_partition_id()))
+
+
+def previous_in_order(df: DataFrame, key: Sequence[str], order: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """:func:`previous_row` over range blocks, for keys that may hold any number of rows of any one time."""
+    return previous_row(range_blocks(df, [*key, *order]), key, order, F.col("__tm_range"), carry).drop("__tm_range")
+
+
+def max_so_far(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """:func:`running_max` over range blocks."""
+    return running_max(range_blocks(df, [*key, *order]), key, order, F.col("__tm_range"), value, out).drop("__tm_range")

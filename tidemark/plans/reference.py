@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import chains, diffs, health, history, pages, registry, runs
-from tidemark.plans.ordered import positions, previous_row
+from tidemark.plans.ordered import positions, previous_in_order, previous_row
+from tidemark.session import shared_folder
 from tidemark.sources import sinks
 from tidemark.sources.tables import table
 from tidemark.streaming import streaks as streaming
@@ -70,7 +69,7 @@ def snapshot_excerpt(spark: SparkSession, d: str) -> DataFrame:
 def page_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Retained bytes, normalized again; tested against a plain restatement (bytes may be invalid UTF-8)."""
     s = table(spark, d, "snapshots", "snapshot_id", "raw_bytes").filter(F.col("raw_bytes").isNotNull())
-    return pages.normalized_pages(s).select("snapshot_id", "raw_sha256", "normalized_sha256", "detection_sha256", T.page_title(T.decoded(F.col("raw_bytes"))).alias("title"))
+    return pages.with_title(pages.normalized_pages(s), "raw_bytes", "title").select("snapshot_id", "raw_sha256", "normalized_sha256", "detection_sha256", "title")
 
 
 @query("""SELECT CASE WHEN contains(lower(coalesce(content_type, '')), 'html') OR contains(lower(coalesce(content_type, '')), 'xml') THEN 'html'
@@ -206,17 +205,17 @@ def baseline_check(spark: SparkSession, d: str) -> DataFrame:
 
 def _changed_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Changed neighbours with both texts: ids are found first, texts are fetched for them only."""
-    s = table(spark, d, "snapshots", "source_id", "snapshot_id", "normalized_text")
+    s = table(spark, d, "snapshots", "source_id", "snapshot_id", "url", "normalized_text")
     moved = previous_row(s.select("source_id", "snapshot_id", T.sha256(F.col("normalized_text")).alias("h")), ["source_id"], ["snapshot_id"], F.floor(F.col("snapshot_id") / 10_000), ["snapshot_id", "h"])
     ids = moved.filter(F.col("prev.h") != F.col("h")).select("snapshot_id", F.col("prev.snapshot_id").alias("previous_id"))
     texts = s.select("snapshot_id", "normalized_text")
-    return ids.join(texts.withColumnRenamed("normalized_text", "new_text"), "snapshot_id").join(texts.select(F.col("snapshot_id").alias("previous_id"), F.col("normalized_text").alias("old_text")), "previous_id")
+    return ids.join(s.select("snapshot_id", "url", F.col("normalized_text").alias("new_text")), "snapshot_id").join(texts.select(F.col("snapshot_id").alias("previous_id"), F.col("normalized_text").alias("old_text")), "previous_id")
 
 
 @query()
 def changed_unified_diff(spark: SparkSession, d: str) -> DataFrame:
     """Unified diffs of changed neighbours; tested against the standard library on a fixture."""
-    return diffs.unified_diffs(_changed_pairs(spark, d), "old_text", "new_text", "diff").select("snapshot_id", "previous_id", "diff")
+    return diffs.unified_diffs(_changed_pairs(spark, d), "old_text", "new_text", "diff", "url").select("snapshot_id", "previous_id", "diff")
 
 
 @query("""WITH t AS (SELECT source_id, snapshot_id, normalized_text AS x, lag(normalized_text) OVER (PARTITION BY source_id ORDER BY snapshot_id) AS p FROM snapshots), c AS (SELECT * FROM t WHERE p <> x),
@@ -279,7 +278,7 @@ def outage_lengths(spark: SparkSession, d: str) -> DataFrame:
 @query(_NOW + " FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY att DESC, seq DESC) AS rn FROM r) l WHERE rn = 1")
 def streaming_streaks(spark: SparkSession, d: str) -> DataFrame:
     """The streaks by stream: the attempts are replayed as files, state is kept per source."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     _outcomes(spark, d).filter(F.col("outcome") != "no-text").withColumn("at", F.col("at").cast("timestamp")).write.parquet(f"{root}/in")
     source = spark.readStream.schema("source_id string, at timestamp, seq string, outcome string").parquet(f"{root}/in")
 
@@ -330,7 +329,7 @@ SELECT host, run_id, source_id, attempted_at, CAST(epoch_us(attempted_at) - epoc
 def attempt_gaps_by_host(spark: SparkSession, d: str) -> DataFrame:
     """Microseconds since the host's attempt before."""
     a = table(spark, d, "fetch_attempts", "run_id", "source_id", "attempted_at", "url").withColumn("host", T.host(F.col("url"))).drop("url").distinct()
-    near = previous_row(a, ["host"], ["attempted_at", "run_id", "source_id"], F.to_date("attempted_at"), ["attempted_at"])
+    near = previous_in_order(a, ["host"], ["attempted_at", "run_id", "source_id"], ["attempted_at"])
     gap = F.unix_micros(F.col("attempted_at").cast("timestamp")) - F.unix_micros(F.col("prev.attempted_at").cast("timestamp"))
     return near.select("host", "run_id", "source_id", "attempted_at", gap.alias("gap_us"))
 
@@ -433,7 +432,7 @@ def change_fault_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT DISTINCT change_id, jurisdiction, strftime(coalesce(lifecycle_at, observed_at), '%Y-%m-%dT%H:%M:%S') AS published_at,
-CASE WHEN publication_status = 'active' THEN change_id ELSE concat_ws('-', change_id, 'lifecycle', substr(sha256(concat_ws(chr(10), coalesce(change_id, ''), coalesce(publication_status, ''), coalesce(superseded_by, ''), coalesce(lifecycle_reason, ''), coalesce(lifecycle_actor, ''))), 1, 16)) END AS guid,
+CASE WHEN publication_status = 'active' THEN change_id ELSE concat_ws('-', change_id, 'lifecycle', substr(sha256(concat_ws(chr(10), coalesce(change_id, ''), coalesce(publication_status, ''), coalesce(superseded_by, ''), coalesce(lifecycle_reason, ''), coalesce(lifecycle_actor, ''), coalesce(replace(strftime(lifecycle_at, '%Y-%m-%dT%H:%M:%S.%f+00:00'), '.000000', ''), ''))), 1, 16)) END AS guid,
 replace(replace(replace(replace(replace(coalesce(url, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS link FROM changes""")
 def feed_items(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "changes", "change_id", "jurisdiction", "document_class", "kind", "url", "observed_at", "lifecycle_at", "publication_status", "superseded_by", "lifecycle_reason", "lifecycle_actor")

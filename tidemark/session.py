@@ -37,19 +37,25 @@ def reachable_by_workers(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. A cluster must name it; a local master may use its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that all machines share")
+    return os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cuts the lineage with checkpoint() in the shared folder named by spark.checkpoint.dir.
 
-    The setting is read from the session; only where it is unset (tests) is a
-    folder of our own used.
+    The setting is read from the session; only where it is unset on a local master
+    (tests) is a folder of our own used.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
-        sc.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 
-FEED_ITEMS = 500  # newest items of a feed; a feed is a top-k report
-
 
 def feed_items(changes: DataFrame) -> DataFrame:
     """change_id, jurisdiction, published_at (ISO), pub_date (RFC 2822), guid and escaped title of changes.
@@ -27,7 +25,7 @@ def feed_items(changes: DataFrame) -> DataFrame:
     A record that is no longer active gets a guid of its own from its lifecycle fields.
     """
     at = F.coalesce("lifecycle_at", "observed_at")
-    moved = F.concat_ws("-", "change_id", F.lit("lifecycle"), F.substring(T.event_id(F.col("change_id"), F.col("publication_status"), F.col("superseded_by"), F.col("lifecycle_reason"), F.col("lifecycle_actor")), 1, 16))
+    moved = F.concat_ws("-", "change_id", F.lit("lifecycle"), F.substring(T.event_id(F.col("change_id"), F.col("publication_status"), F.col("superseded_by"), F.col("lifecycle_reason"), F.col("lifecycle_actor"), T.iso_utc(F.col("lifecycle_at"))), 1, 16))
     title = F.concat_ws(" ", "jurisdiction", "document_class", "kind")
     return changes.select(
         "change_id", "jurisdiction", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss").alias("published_at"), T.rfc2822(at).alias("pub_date"),
@@ -35,8 +33,8 @@ def feed_items(changes: DataFrame) -> DataFrame:
 
 
 def feed_xml(items: DataFrame, title: str) -> str:
-    """An RSS 2.0 document of the newest items; an empty one says so in a comment."""
-    rows = items.orderBy(F.col("published_at").desc(), F.col("change_id").desc()).limit(FEED_ITEMS).collect()
+    """An RSS 2.0 document of all items, newest first; an empty one says so in a comment. Rows are streamed to the driver."""
+    rows = items.orderBy(F.col("published_at").desc(), F.col("change_id").desc()).toLocalIterator()
     body = "\n".join(f"<item><title>{r['title']}</title><link>{r['link']}</link><guid isPermaLink=\"false\">{r['guid']}</guid><pubDate>{r['pub_date']}</pubDate></item>" for r in rows)
     head = title.replace("&", "&amp;").replace("<", "&lt;")
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0"><channel><title>{head}</title>\n{body or "<!-- nothing published -->"}\n</channel></rss>\n'
@@ -105,8 +103,8 @@ def receipt_lines(df: DataFrame, path: str) -> None:
 
 
 def site_page(title: str, rows: DataFrame, columns: list[str]) -> str:
-    """A static page with one table of the newest FEED_ITEMS rows; everything escaped."""
-    cells = rows.select(*[T.xml_escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns]).limit(FEED_ITEMS).collect()
+    """A static page with one table of all rows; everything escaped."""
+    cells = rows.select(*[T.xml_escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns]).toLocalIterator()
     head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
     body = "".join("<tr>" + "".join(f"<td>{r[c]}</td>" for c in columns) + "</tr>\n" for r in cells)
     return f"<!doctype html>\n<meta charset=\"utf-8\">\n<title>{html.escape(title)}</title>\n<h1>{html.escape(title)}</h1>\n<table><tr>{head}</tr>\n{body}</table>\n"

@@ -98,3 +98,15 @@ def test_a_russian_line_stays_russian():
     assert looks.canonical(line.replace("с ", "c ")) == line  # a Latin c
     assert looks.canonical("а сору of the form") == "a copy of the form"  # Cyrillic letters in an English line
     assert looks.canonical("сору") == "copy"
+
+
+def test_repeated_lines_by_share_and_by_shuffle(spark, monkeypatch):
+    rows = [(i, f"s{i}", "https://h/p", "common line\nhalf line" if i < 5 else "common line") for i in range(12)]
+    df = spark.createDataFrame(rows, "snapshot_id bigint, source_id string, url string, normalized_text string")
+    cols = ("snapshot_id", "source_id", "url", "normalized_text")
+    want = {(i, 1) for i in range(12)} | {(i, 2) for i in range(5)}
+    found = lambda **k: {(x.snapshot_id, x.line_no) for x in sites.repeated_lines_of(df, *cols, **k).collect()}
+    assert found() == want
+    assert found(min_share=0.5) == {(i, 1) for i in range(12)}
+    monkeypatch.setattr(sites, "BROADCAST_ROWS", 0)
+    assert found() == want

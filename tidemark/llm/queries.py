@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import frames, leakage, looks, packing, residue, sentences, sites
-from tidemark.plans.ordered import previous_row
+from tidemark.plans.ordered import previous_in_order
 from tidemark.session import durable, spread
 from tidemark.sources.tables import table
 
@@ -24,15 +24,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     t1, t2 = looks.look_hash(F.col("normalized_text"))
     f1, f2 = looks.look_hash(F.col("form"))
     compact = s.select("snapshot_id", "source_id", "fetched_at", F.struct(t1.alias("a"), t2.alias("b")).alias("raw"), F.struct(f1.alias("a"), f2.alias("b")).alias("look"))
-    near = previous_row(compact, ["source_id"], ["fetched_at", "snapshot_id"], F.to_date("fetched_at"), ["snapshot_id", "raw", "look"])
+    near = previous_in_order(compact, ["source_id"], ["fetched_at", "snapshot_id"], ["snapshot_id", "raw", "look"])
     alike = near.filter((F.col("prev.look") == F.col("look")) & (F.col("prev.raw") != F.col("raw")))
     return alike.select(
         F.least("snapshot_id", "prev.snapshot_id").cast("bigint").alias("snapshot_id_a"), F.greatest("snapshot_id", "prev.snapshot_id").cast("bigint").alias("snapshot_id_b")).distinct()
 
 
-def _repeated(spark: SparkSession, d: str) -> DataFrame:
+def _repeated(spark: SparkSession, d: str, **threshold: float) -> DataFrame:
     s = spread(table(spark, d, "snapshots", "snapshot_id", "source_id", "url", "normalized_text"))
-    return sites.repeated_lines_of(s, "snapshot_id", "source_id", "url", "normalized_text")
+    return sites.repeated_lines_of(s, "snapshot_id", "source_id", "url", "normalized_text", **threshold)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -40,6 +40,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _repeated(spark, d).select(F.col("snapshot_id").cast("bigint").alias("snapshot_id"), F.col("line_no").cast("int").alias("line_no")).distinct()
 
 
+def p3_widespread(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots' lines that stand on at least half of their site's sources, and on five."""
+    return _repeated(spark, d, min_share=0.5).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Every snapshot's text without the lines its site repeats."""
     s = table(spark, d, "snapshots", "snapshot_id", "normalized_text")
@@ -143,6 +148,7 @@ QUERIES = {
     "p1_canonical": p1_canonical,
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
+    "p3_widespread": p3_widespread,
     "p4_found": p4_found,
     "p4_evidence": p4_evidence,
     "p4_kept": p4_kept,

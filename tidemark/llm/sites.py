@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.looks import with_canonical
 from tidemark.session import durable
 
-SALTS = 8
+BROADCAST_ROWS = 500_000  # repeated lines (24 bytes each) up to which they are broadcast
 
 
 def site_of(url: Column) -> Column:
@@ -23,7 +23,7 @@ def site_of(url: Column) -> Column:
 
 
 def line_table(df: DataFrame, doc: str, group: str, url: str, text: str) -> DataFrame:
-    """Compact lines: doc, g (hash of the group), h1, h2 (hash of site and letters), line_no from 1.
+    """Compact lines: doc, s (hash of the site), g (hash of the group), h1, h2 (hash of site and letters), line_no from 1.
 
     Null texts and lines without letters give no rows. A null url is its own site ''.
     """
@@ -33,7 +33,7 @@ def line_table(df: DataFrame, doc: str, group: str, url: str, text: str) -> Data
         F.posexplode(F.split(letters_lines(F.col("__tm_text")), "\n", -1)).alias("pos", "letters"),
     ).filter(F.col("letters") != "")
     return lines.select(
-        F.col(doc), F.when(~F.col("no_group"), F.col("g")).alias("g"), F.xxhash64(F.lit("a"), "site", "letters").alias("h1"), F.xxhash64(F.lit("b"), "site", "letters").alias("h2"), (F.col("pos") + 1).cast("int").alias("line_no"))
+        F.col(doc), F.xxhash64("site").alias("s"), F.when(~F.col("no_group"), F.col("g")).alias("g"), F.xxhash64(F.lit("a"), "site", "letters").alias("h1"), F.xxhash64(F.lit("b"), "site", "letters").alias("h2"), (F.col("pos") + 1).cast("int").alias("line_no"))
 
 
 def letters_lines(text: Column) -> Column:
@@ -41,26 +41,32 @@ def letters_lines(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\n]+", "")
 
 
-def repeated_lines(lines: DataFrame, doc: str, min_groups: int = 5, min_share: float = 0.0, sites: DataFrame | None = None) -> DataFrame:
-    """(doc, line_no) of every line found in at least ``min_groups`` groups of its site.
+def repeated_lines(lines: DataFrame, doc: str, min_groups: int = 5, min_share: float = 0.0) -> DataFrame:
+    """(doc, line_no, n_groups) of every line found in at least ``min_groups`` groups of its site and at least ``min_share`` of them.
 
-    With ``sites`` (h1, h2, n_groups of the site) also at least ``min_share`` of the
-    site's groups. Rows without a group do not count towards the threshold but are
-    found. Counting is pre-aggregated per (line, group); the join back is salted, so a line that
-    stands on a third of all documents is spread over ``SALTS`` parts.
+    Rows without a group do not count towards the threshold but are found. Counting is
+    pre-aggregated per (line, group). The repeated lines are broadcast while their number
+    is within bounds; beyond, the join back is salted by the cluster's cores, so a line
+    that stands on a third of all documents is spread over all of them.
     """
-    counts = lines.filter(F.col("g").isNotNull()).select("h1", "h2", "g").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_groups"))
+    grouped = lines.filter(F.col("g").isNotNull())
+    counts = grouped.select("s", "h1", "h2", "g").distinct().groupBy("s", "h1", "h2").agg(F.count(F.lit(1)).alias("n_groups"))
     often = counts.filter(F.col("n_groups") >= min_groups)
-    if sites is not None and min_share > 0:
-        often = often.join(sites.withColumnRenamed("n_groups", "of"), ["h1", "h2"]).filter(F.col("n_groups") >= F.col("of") * min_share).drop("of")
-    spread = often.select("h1", "h2", "n_groups", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
-    salted = lines.select(doc, "h1", "h2", "line_no", F.pmod(F.xxhash64(doc, "line_no"), F.lit(SALTS)).cast("int").alias("salt"))
+    if min_share > 0:
+        of = grouped.select("s", "g").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("of"))
+        often = often.join(of, "s").filter(F.col("n_groups") >= F.col("of") * min_share)
+    often = durable(often.select("h1", "h2", "n_groups"))
+    if often.count() <= BROADCAST_ROWS:
+        return lines.join(F.broadcast(often), ["h1", "h2"]).select(doc, "line_no", "n_groups")
+    salts = lines.sparkSession.sparkContext.defaultParallelism
+    spread = often.select("h1", "h2", "n_groups", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salted = lines.select(doc, "h1", "h2", "line_no", F.pmod(F.xxhash64(doc, "line_no"), F.lit(salts)).cast("int").alias("salt"))
     return salted.join(spread, ["h1", "h2", "salt"]).select(doc, "line_no", "n_groups")
 
 
-def repeated_lines_of(df: DataFrame, doc: str, group: str, url: str, text: str, min_groups: int = 5) -> DataFrame:
+def repeated_lines_of(df: DataFrame, doc: str, group: str, url: str, text: str, min_groups: int = 5, min_share: float = 0.0) -> DataFrame:
     """The whole path from documents to their repeated lines."""
-    return repeated_lines(durable(line_table(df, doc, group, url, text)), doc, min_groups)
+    return repeated_lines(durable(line_table(df, doc, group, url, text)), doc, min_groups, min_share)
 
 
 def without_lines(df: DataFrame, doc: str, text: str, lines: DataFrame, out: str) -> DataFrame:

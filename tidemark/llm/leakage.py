@@ -57,7 +57,11 @@ def _hash(word: str) -> int:
 def hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes and whether each is a Han or Kana character."""
     t = tokens(text)
-    return np.array([_hash(x) for x in t], dtype=np.int64), np.array([bool(_HAN.match(x)) for x in t], dtype=bool)
+    one = _short_hash if len(max(t, key=len, default="")) <= 64 else _hash
+    h = np.fromiter(map(one, t), dtype=np.int64, count=len(t))
+    if text.isascii() or not _HAN.search(text):
+        return h, np.zeros(len(t), dtype=bool)
+    return h, np.fromiter((len(x) == 1 and ("\u3040" <= x <= "\u30ff" or "\u3400" <= x <= "\u9fff") for x in t), dtype=bool, count=len(t))
 
 
 def seeds(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +69,17 @@ def seeds(text: str) -> tuple[np.ndarray, np.ndarray]:
     h, han = hashes(text)
     outs, ats = [], []
     for n, pure in ((N_WORDS, False), (N_HAN, True)):
-        if len(h) < n:
+        if len(h) < n or (pure and not han.any()):
             continue
         g = np.zeros(len(h) - n + 1, dtype=np.uint64)
         for k in range(n):
             g = (g * np.uint64(0x9E3779B97F4A7C15)) ^ (h[k : len(h) - n + 1 + k].view(np.uint64) + np.uint64(k + n))
-        inside = np.convolve(han, np.ones(n, dtype=int), "valid") if len(han) >= n else np.zeros(0)
+        if not han.any():
+            outs.append(g.view(np.int64))
+            ats.append(np.arange(len(g)))
+            continue
+        sums = np.concatenate([[0], np.cumsum(han)])
+        inside = sums[n:] - sums[:-n]
         keep = inside == n if pure else inside < n
         outs.append(g[keep].view(np.int64))
         ats.append(np.flatnonzero(keep))
@@ -270,6 +279,8 @@ def _aligned(shared, doc: str, item: str, min_share: float):
                     continue
                 h = hashes(t)[0]
                 for k, places, rare in near:
+                    if rare < min_share * RARE:
+                        continue  # no share that counts could pass below
                     share, lo, hi = leaked_share(tests.words[k], h, places)
                     # sentences of one mould share words, but few of what only this item has
                     if share >= min_share and rare >= share * RARE:

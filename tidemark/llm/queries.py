@@ -24,7 +24,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     t1, t2 = looks.look_hash(F.col("normalized_text"))
     f1, f2 = looks.look_hash(F.col("form"))
     compact = s.select("snapshot_id", "source_id", "fetched_at", F.struct(t1.alias("a"), t2.alias("b")).alias("raw"), F.struct(f1.alias("a"), f2.alias("b")).alias("look"))
-    near = previous_in_order(compact, ["source_id"], ["fetched_at", "snapshot_id"], ["snapshot_id", "raw", "look"])
+    # written down first: range partitioning samples its input, which would rewrite every text twice
+    near = previous_in_order(durable(compact), ["source_id"], ["fetched_at", "snapshot_id"], ["snapshot_id", "raw", "look"])
     alike = near.filter((F.col("prev.look") == F.col("look")) & (F.col("prev.raw") != F.col("raw")))
     return alike.select(
         F.least("snapshot_id", "prev.snapshot_id").cast("bigint").alias("snapshot_id_a"), F.greatest("snapshot_id", "prev.snapshot_id").cast("bigint").alias("snapshot_id_b")).distinct()

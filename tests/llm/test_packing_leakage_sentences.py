@@ -199,6 +199,36 @@ def test_learned_english(spark):
     assert p > 0.97 and r > 0.97, (p, r)
 
 
+def test_rare_counts_are_learned_from(spark):
+    # a short word, seen twice without a period and twice with one, among more words than 1 / 2e-5
+    docs, _ = corpus()
+    docs = [(i, t, "en") for i, t, _ in docs * 8]
+    rare = ["The ox was late at the log. The clerk saw no ox. Dr. Mara waits. The ox is gone. Ask for ox. Bring Form A-1."]
+    df = spark.createDataFrame([*docs, (9_999, rare[0], "en")], "doc_id bigint, text string, lang string").repartition(6)
+    assert sum(len(t.split()) for _, t, _ in docs) > 200_000
+    models = sentences.learn(df, "text", "lang")
+    assert "ox" not in models["en"].abbreviations and {"dr", "co", "st"} <= models["en"].abbreviations
+    cut = sentences.Splitter(models)
+    text = "We wait for ox. Zunak pays."
+    assert [text[a:b] for a, b in cut.split(text, "en")] == ["We wait for ox.", "Zunak pays."]
+
+
+def test_long_words_that_end_sentences(spark):
+    # never seen without a period and often, but what follows begins sentences
+    docs, _ = corpus()
+    docs = [(i, t + " Bring the guidebook. The list is long. Ask the guidebook. Mail goes with Lunel & Co. on July 2.", "en") for i, t, _ in docs * 2]
+    models = sentences.learn(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), "text", "lang")
+    assert "guidebook" not in models["en"].abbreviations and "co" in models["en"].abbreviations
+
+
+def test_passages_in_small_letters_are_no_evidence(spark):
+    docs, _ = corpus()
+    cased = [(i, t + " Bring the stub. The list is long.", "en") for i, t, _ in docs]
+    small = [(500 + i, "the clerk brought the stub. zunak pays. the list was held.", "en") for i in range(100)]
+    models = sentences.learn(spark.createDataFrame([*cased, *small], "doc_id bigint, text string, lang string"), "text", "lang")
+    assert "stub" not in models["en"].abbreviations and "co" in models["en"].abbreviations
+
+
 def test_units_cover_all_and_edges(spark, small):
     d = spark.read.parquet(f"{small}/documents.parquet").toPandas()
     rows = queries.p9_found(spark, small).toPandas().sort_values(["doc_id", "start_pos"])

@@ -417,7 +417,10 @@ def _headings(counts: DataFrame) -> DataFrame:
 
 
 def _frequent(counts: DataFrame, words: DataFrame, of: dict[str, Counter]) -> DataFrame:
-    """The words by which languages are told apart, with their shares, and the starters of Thai."""
+    """The forty most frequent words, by which languages are told apart, with their shares; the starters of Thai.
+
+    Each task keeps forty words a language before the shuffle (WindowGroupLimit).
+    """
     totals = counts.sparkSession.createDataFrame([(k, max(n["tok"] + n["per"], 1)) for k, n in of.items()], "lang string, total bigint")
     order = Window.partitionBy("lang").orderBy(F.col("tok").desc(), "word")
     first = words.filter(F.col("tok") > 0).select("lang", "word", "tok", F.row_number().over(order).alias("place")).filter(F.col("place") <= 40)
